@@ -156,7 +156,7 @@ def to_case(rules: list[tuple[Rule, str]]) -> str:
 
 def fit_rules(statistics: DataFrame, sample: int = SAMPLE) -> list[tuple[Rule, str]]:
     """Induces the rules from at most `sample` labelled rows (those of least hashed id); all else covers all rows."""
-    rows = statistics.where("label is not null").select(F.xxhash64("doc_id").alias("o"), "label", *FEATURES).orderBy("o").limit(sample).drop("o").toPandas()
+    rows = saved(statistics.where("label is not null").select(F.xxhash64("doc_id").alias("o"), "label", *FEATURES).orderBy("o").limit(sample).drop("o")).toPandas()
     if rows.empty:
         return []
     return induce(rows[FEATURES].to_numpy(float), rows["label"].to_numpy(str))
