@@ -285,7 +285,7 @@ def cluster_doc_freq(t: Tables) -> DataFrame:
     return cluster.centroid_mean(members_of(t), index.tidy_vectors(t.vectors)).select("cluster_id", "term", "doc_freq")
 
 
-@query("reload_centroid", f"WITH {MEAN} SELECT cluster_id, term, round(mean, 9) AS mean, 0.0 AS stddev, doc_freq - 1 AS doc_freq FROM mean")
+@query("reload_centroid", f"WITH {MEAN} SELECT cluster_id, term, round(mean, 9) AS mean, CAST(0 AS DOUBLE) AS stddev, doc_freq - 1 AS doc_freq FROM mean")
 def reload_centroid(t: Tables) -> DataFrame:
     return cluster.reload_centroid(members_of(t), index.tidy_vectors(t.vectors)).withColumn("mean", F.round("mean", 9))
 
