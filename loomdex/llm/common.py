@@ -1,53 +1,15 @@
-"""Scratch tables in the folder that all executors share, and small helpers."""
+"""Scratch tables and bounded joins of the core, and slices of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..scratch import bounded_join, drop, narrow, saved, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir.  Where the session names none (local tests), a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomdex-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame, *cluster_by: str) -> DataFrame:
-    """Writes the frame into the shared folder and reads it back: the lineage ends there, so the loss of an
-    executor costs no recomputation, and the rows are stored compressed by column."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    if cluster_by:
-        df = df.repartition(*cluster_by)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._scratch = path
-    return back
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a frame that saved() returned."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def narrow(df: DataFrame, **columns: object) -> DataFrame:
-    """The named columns only, by name = expression; other columns, however they are called, fall away."""
-    return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+__all__ = ["bounded_join", "drop", "in_slices", "narrow", "saved", "shared_dir"]
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -64,18 +26,3 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 4096,
                 end += 1
             yield batch.slice(at, end - at)
             at = end
-
-
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
-#: Rows of a saved table up to which it is broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def bounded_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins by broadcast if `small` is counted to have at most `rows` rows, else by shuffle (with AQE's splitting of
-    skewed keys)."""
-    few = small.limit(rows + 1).count() <= rows
-    return big.join(F.broadcast(small) if few else small, on, how)
