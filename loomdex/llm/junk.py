@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 _HEX = re.compile(r"^[0-9a-fA-F]{6,8}:?\s+(?:[0-9a-fA-F]{2}\s+){4,}", re.M)
-_HARD = re.compile(r"(?<![^\W\d_])[b-df-hj-np-tv-xz]{4,}(?![^\W\d_])", re.I)
+_HARD = re.compile(r"(?<![^\W\d_])(?<!&)[b-df-hj-np-tv-xz]{4,}(?![^\W\d_])", re.I)
 _BROKEN = re.compile("�|Ã[\u0080-¿]|â€|Â[ -¿ ]|ï¿½")
 _WORD = re.compile(r"[^\W_]+")
 _BULLET = re.compile(r"\s*(?:[-*+•·‣◦▪–—]|\(?\d{1,4}[.)]|\(?[A-Za-z][.)])\s+")
@@ -74,4 +74,4 @@ def is_junk(text: str) -> bool:
 def junk_by(f: dict[str, float], pieces: int) -> bool:
     if f["table_share"] > 0.5 and f["broken_share"] < 0.3:
         return False
-    return f["letter_share"] < 0.3 or f["broken_share"] > 0.3 or f["hex_share"] > 0.5 or f["hard_share"] > 0.3 or f["long_share"] > 0.3 or (pieces >= 20 and f["distinct_share"] < 0.15)
+    return f["letter_share"] < (0.3 if pieces >= 5 else 0.05) or f["broken_share"] > 0.3 or f["hex_share"] > 0.5 or f["hard_share"] > 0.3 or f["long_share"] > 0.3 or (pieces >= 20 and f["distinct_share"] < 0.15)
