@@ -16,7 +16,10 @@ FEATURES = ["words", "mean_word_length", "symbol_share", "punct_share", "stop_sh
 
 
 def _row(line: str, j: int) -> bool:
-    cells = _CELLS[j].split(line.strip().strip("|") if j == 1 else line.strip(" "))
+    line = line.strip(" \r\n")
+    if j == 1 and line[:1] == "|":  # bars around the row, else a last cell may be empty
+        line = line[1:-1] if line[-1] == "|" else line[1:]
+    cells = _CELLS[j].split(line)
     if len(cells) < 3 or sum(1 for c in cells if _WORD.search(c)) < 2:
         return False
     # running text holds these signs too: there, cells are long, or the last one ends as a sentence does
@@ -72,6 +75,6 @@ def is_junk(text: str) -> bool:
 
 
 def junk_by(f: dict[str, float], pieces: int) -> bool:
-    if f["table_share"] > 0.5 and f["broken_share"] < 0.3:
+    if f["table_share"] > 0.5 and f["broken_share"] < 0.3 and f["symbol_share"] < 0.5:
         return False
-    return f["letter_share"] < (0.3 if pieces >= 5 else 0.05) or f["broken_share"] > 0.3 or f["hex_share"] > 0.5 or f["hard_share"] > 0.3 or f["long_share"] > 0.3 or (pieces >= 20 and f["distinct_share"] < 0.15)
+    return f["letter_share"] < (0.47 if pieces >= 5 else 0.05) or f["broken_share"] > 0.3 or f["hex_share"] > 0.5 or f["hard_share"] > 0.3 or f["long_share"] > 0.3 or (pieces >= 20 and f["distinct_share"] < 0.15)
