@@ -34,7 +34,8 @@ def sparse_vectors(entries: DataFrame, id_col: str = "doc_id", term_col: str = "
     names the direction, so that copies have equal names.  Other columns are ignored.
     """
     clean = narrow(entries, id=F.col(f"`{id_col}`").try_cast("long"), term=F.xxhash64(F.col(f"`{term_col}`")), weight=F.col(f"`{weight_col}`").cast("double"), name=F.col(f"`{term_col}`"))
-    clean = clean.where("id is not null and name is not null and weight is not null and not isnan(weight) and weight <> 0 and abs(weight) < 1e300").select("id", "term", "weight")
+    clean = clean.where("id is not null and name is not null and weight is not null and not isnan(weight) and weight <> 0 and abs(weight) < 1e300")
+    clean = clean.groupBy("id", "term").agg(F.max("weight").alias("weight"))  # repeated rows fall together map-side
     # entries of one record come together and in order, so that each record is a run of rows
     ordered = clean.repartition("id").sortWithinPartitions("id", "term", "weight")
 

@@ -11,7 +11,7 @@ from .distinctive import distinctive_terms
 from .leakage import leaks
 from .linkage import clusters_of, saved_clusters
 from .markup import clean_text, markup_residue
-from .mixing import mix_plan, mix_report, piece_sizes, token_sizes
+from .mixing import mix_plan, mix_report, mix_selection, piece_sizes, token_sizes
 from .neardup import duplicate_groups, duplicate_pairs
 from .neighbors import nearest, record_pairs, similar_pairs
 from .quality import text_kinds
@@ -55,7 +55,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": _tables("documents benchmark", lambda d, b: leaks(d, b).select("doc_id", "item_id")),
         "p7_report": _tables("documents benchmark", lambda d, b: leaks(d, b).select("doc_id", "item_id", "longest_run", F.round("share", 6).alias("share"))),
         "p8_found": _tables("documents mix_target", lambda d, t: mix_plan(piece_sizes(d), t).where("short").select("source")),
-        "p8_mix": _tables("documents mix_target", lambda d, t: mix_report(token_sizes(d), t)),
+        "p8_mix": _tables("documents mix_target", lambda d, t: mix_selection(token_sizes(d), t).withColumnRenamed("id", "doc_id")),
+        "p8_shares": _tables("documents mix_target", lambda d, t: mix_report(token_sizes(d), t)),
         "p9_found": _tables("documents stopword", p9_found),
         "p9_statistics": _tables("documents stopword", p9_statistics),
     }

@@ -41,6 +41,14 @@ def radix_splits(rows: DataFrame, part_rows: int = PART_ROWS, bits: int = BITS,
     return out
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of repeated (record, term) within a batch the row with the largest count."""
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch]).group_by(["doc", "term", "part"]).aggregate([("tf", "max")])
+            yield from table.rename_columns(["doc", "term", "part", "tf"]).to_batches()
+
+
 def term_frequencies(counts: DataFrame, id_col: str = "doc_id", term_col: str = "term", tf_col: str = "tf", min_records: int = MIN_RECORDS, max_share: float = MAX_SHARE, part_rows: int = PART_ROWS, memory: str = "256MB") -> DataFrame:
     """Every distinct term: (term, total, df, share, mark).
 
@@ -89,7 +97,9 @@ def term_frequencies(counts: DataFrame, id_col: str = "doc_id", term_col: str =
             yield batch
         con.close()
 
-    dealt = rows.select("doc", "term", "tf", part.alias("part")).repartition("part").drop("part")
+    # repeats of one (record, term) cannot be dealt to several partitions, so they fall together batch by batch first
+    apart = rows.select("doc", "term", "tf", part.alias("part")).mapInArrow(_once, "doc string, term string, part long, tf long")
+    dealt = apart.repartition("part").drop("part")
     partial = dealt.mapInArrow(aggregate, "term string, total long, df long")
     records = rows.agg(F.count_distinct("doc")).first()[0]
     sums = partial.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
