@@ -65,13 +65,20 @@ def repair_empty(candidates: DataFrame, empties: DataFrame) -> DataFrame:
     return c.join(e, "r").select("doc_id", "donor", "cluster_id")
 
 
+def _fresh_or_old(members: DataFrame, vectors: DataFrame, means: DataFrame, filled: set) -> DataFrame:
+    """New means of the clusters that have members; the others keep their old ones."""
+    fresh = centroid_mean(members, vectors).select("cluster_id", "term", "mean")
+    return fresh.unionByName(means.where(~F.col("cluster_id").isin(list(filled))))
+
+
 def kmeans_cosine(vectors: DataFrame, docs: DataFrame, k: int, seed: int = 1, threshold: float = 0.002, rounds: int = 10, seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (assignments(doc_id, cluster_id, sim), centroids(cluster_id, term, mean)).
 
     docs(doc_id, sqrt_mag); k seed documents are drawn by hash of id and seed (or given as seeds(cluster_id, doc_id)),
     and a cluster's magnitude stays its seed's.  Each round assigns all documents, recomputes means, gives empty
     clusters the best candidates of the others (a donor's count stays, as observed), and ends when no shift changes by
-    more than `threshold` or after `rounds`.  State is written to the shared folder each round; one Boolean is collected.
+    more than `threshold` or after `rounds`.  State is written to the shared folder
+    each round; the driver sees k numbers.
     """
     have = docs.join(vectors.select("doc_id").distinct(), "doc_id", "left_semi")
     if seeds is None:
@@ -80,33 +87,31 @@ def kmeans_cosine(vectors: DataFrame, docs: DataFrame, k: int, seed: int = 1, th
     seeds = saved(seeds.select("cluster_id", "doc_id"))
     clusters = saved(seeds.join(docs, "doc_id").select("cluster_id", "sqrt_mag"))
     means = saved(bounded_join(vectors, seeds, "doc_id").select("cluster_id", "term", F.col("weight").alias("mean")))
-    shifts, assigned = None, None
+    seen = [r[0] for r in clusters.select("cluster_id").collect()]  # k numbers
+    shifts, assigned = dict.fromkeys(seen, 0.0), None
     for _ in range(rounds):
+        old = [x for x in (means, assigned) if x is not None]
         now = saved(closest_cluster(cosine_to_centroids(vectors, docs, means, clusters), have))
-        sizes = saved(now.groupBy("cluster_id").agg(F.count("*").alias("n")))
+        sizes = now.groupBy("cluster_id").agg(F.count("*").alias("n"))
+        filled = {r[0] for r in sizes.select("cluster_id").collect()}  # at most k numbers
         members = now.join(F.broadcast(sizes), "cluster_id")  # at most k rows
-        fresh = saved(centroid_mean(members, vectors).select("cluster_id", "term", "mean"))
-        empties = clusters.join(sizes, "cluster_id", "left_anti")
-        if not empties.isEmpty():
-            sims = cosine_to_centroids(vectors, docs, fresh, clusters).join(now.select("doc_id", "cluster_id"), ["doc_id", "cluster_id"])
-            moves = saved(repair_empty(extreme_members(sims), empties))
-            moved = now.join(F.broadcast(moves.select("doc_id", F.col("cluster_id").alias("to"))), "doc_id", "left")  # at most k rows
-            repaired = saved(moved.select("doc_id", F.coalesce("to", "cluster_id").alias("cluster_id"), "sim"))
-            drop(now)
-            now = repaired
+        new = saved(_fresh_or_old(members, vectors, means, filled))
+        if filled < set(seen):
+            old += [now, new]
+            sims = cosine_to_centroids(vectors, docs, new, clusters).join(now.select("doc_id", "cluster_id"), ["doc_id", "cluster_id"])
+            moves = saved(repair_empty(extreme_members(sims), clusters.where(~F.col("cluster_id").isin(list(filled)))))
+            old.append(moves)
+            # a donor's count stays as it was
             counted = sizes.unionByName(moves.select("cluster_id", F.lit(1).cast("long").alias("n")))
-            again = saved(centroid_mean(now.join(F.broadcast(counted), "cluster_id"), vectors).select("cluster_id", "term", "mean"))
-            drop(fresh)
-            fresh = again
-        # a cluster that stays empty keeps its old centroid
-        kept = means.join(fresh.select("cluster_id").distinct(), "cluster_id", "left_anti")
-        new = saved(fresh.unionByName(kept))
-        moved_by = saved(mean_shift(means, new))
-        goes_on = has_changed(moved_by, shifts if shifts is not None else moved_by.withColumn("shift", F.lit(0.0)), threshold).first()[0]
-        for old in (means, fresh, assigned, shifts):
-            if old is not None:
-                drop(old)
-        means, assigned, shifts = new, now, moved_by
+            moved = now.join(F.broadcast(moves.select("doc_id", F.col("cluster_id").alias("to"))), "doc_id", "left")  # at most k rows
+            now = saved(moved.select("doc_id", F.coalesce("to", "cluster_id").alias("cluster_id"), "sim"))
+            filled |= {r[0] for r in moves.select("cluster_id").collect()}
+            new = saved(_fresh_or_old(now.join(F.broadcast(counted), "cluster_id"), vectors, means, filled))
+        moved_by = {r["cluster_id"]: r["shift"] for r in mean_shift(means, new).collect()}  # k numbers
+        goes_on = any(abs(moved_by.get(c, 0.0) - shifts[c]) > threshold for c in seen)
+        for x in old:
+            drop(x)
+        means, assigned, shifts = new, now, {c: moved_by.get(c, 0.0) for c in seen}
         if not goes_on:
             break
     return assigned, means
