@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, saved
+from .common import narrow, saved, wide
 from .crosspoly import Tables, fold, mix64
 from .pairs import bucket_pairs
 
@@ -37,7 +37,7 @@ def sparse_vectors(entries: DataFrame, id_col: str = "doc_id", term_col: str = "
     clean = clean.where("id is not null and name is not null and weight is not null and not isnan(weight) and weight <> 0 and abs(weight) < 1e300")
     clean = clean.groupBy("id", "term").agg(F.max("weight").alias("weight"))  # repeated rows fall together map-side
     # entries of one record come together and in order, so that each record is a run of rows
-    ordered = clean.repartition("id").sortWithinPartitions("id", "term", "weight")
+    ordered = clean.repartition(wide(entries), "id").sortWithinPartitions("id", "term", "weight")
 
     def emit(ids: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
         ids, terms, weights = _ragged(ids, terms, weights)
