@@ -188,6 +188,29 @@ def test_clusters_are_the_groups(spark, entries, few):
     assert sum(sorted(map(len, names.values()))[-8:]) > 0.9 * len(got)
 
 
+def test_no_cluster_is_left_out_by_rank(spark):
+    """Pairs of single records of cosine 0.25, beside more and larger clusters than one task takes."""
+    v = {(str(g * 10 + i), f"g{g}t{j}"): 1.0 for g in range(30) for i in range(3) for j in range(20)}
+    for p in range(20):
+        for i in range(2):
+            v |= {(str(1000 + 2 * p + i), f"p{p}s{j}"): 1.0 for j in range(5)} | {(str(1000 + 2 * p + i), f"p{p}i{i}o{j}"): 1.0 for j in range(15)}
+    vectors = neighbors.saved(neighbors.sparse_vectors(frame(spark, v)))
+    few, whole = ({r["id"]: r["cluster"] for r in linkage.cluster_vectors(vectors, few=n).collect()} for n in (10, 8000))
+    assert sum(few[1000 + 2 * p] == few[1001 + 2 * p] for p in range(20)) >= 18
+    assert few == whole
+
+
+def test_exact_rounds_of_blocks_match_one_task(spark, entries):
+    vectors = neighbors.saved(neighbors.sparse_vectors(frame(spark, entries)))
+    sums = neighbors.saved(linkage._folded(vectors.select("id", "terms", "weights", F.col("id").alias("cluster"))))
+    want = {r["id"]: r["root"] for r in linkage._finish(sums, 0.18).collect()}
+    near = {r["id"]: r["best"] for r in linkage._nearest_sums(sums, sums, len(want), block=50).collect()}
+    assert near == {r["id"]: r["best"] for r in linkage._nearest_sums(sums, sums, len(want)).collect()} and set(near) == set(want)
+    left, to = linkage._exact_rounds(sums, len(want), 0.18, 1)
+    got = {i: i for i in want} | {r["old"]: r["new"] for r in to.collect()}
+    assert got == want and left.count() == len(set(want.values()))
+
+
 def test_cluster_report(spark, entries):
     records, clusters = linkage.clusters_of(frame(spark, entries))
     sizes = {r["cluster_id"]: r["size"] for r in clusters.collect()}
