@@ -10,7 +10,7 @@ Records are joined on blocks, the Hamming distance of the fingerprints is verifi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +97,16 @@ def hamming(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def near_by_hamming(most: int) -> Callable[[pa.Table, pa.Table], np.ndarray]:
+    """near() for bucket_pairs() over marks(id, sig): fingerprints that differ in at most `most` components."""
+
+    def near(left: pa.Table, right: pa.Table) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(t.num_rows, -1) for t in (left, right))
+        return np.stack([(y != one).sum(axis=1) <= most for one in x])
+
+    return near
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = "title", text_col: str = "text", k: int = 5, threshold: float = 0.8, blocks: int = BLOCKS, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     """Classes and similar pairs.
 
@@ -115,10 +125,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", title_col: str | No
     keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * step + 1}, {step})")) for i in range(blocks)])
     keyed = own.select("id", keys.alias("keys"))
     rows = keyed.select(F.explode("keys").alias("key"), "id", F.lit(True).alias("own"))
-    candidates = bucket_pairs(rows, keyed)
     m = blocks * span
     most = math.ceil(m * (1 - threshold) + 5 * math.sqrt(m * threshold * (1 - threshold)))
     sig = own.select("id", "sig")
+    candidates = bucket_pairs(rows, keyed, marks=sig, near=near_by_hamming(most))
     both = candidates.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     near = saved(hamming(both, most))
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +90,28 @@ def dots(left: tuple, right: tuple, n: int) -> np.ndarray:
     return np.bincount(pair[1:][both], weights=(weight[1:] * weight[:-1])[both], minlength=n)
 
 
+def near_by_cosine(least: float, columns: int = 4096) -> Callable[[pa.Table, pa.Table], np.ndarray]:
+    """near() for bucket_pairs() over marks(id, terms, weights): exact cosines, so many terms at a time."""
+
+    def near(left: pa.Table, right: pa.Table) -> np.ndarray:
+        n = left.num_rows, right.num_rows
+        sides = [entries_of(t.select(["terms", "weights"]).combine_chunks().to_batches()[0], 0) for t in (left, right)]
+        terms = np.intersect1d(sides[0][1], sides[1][1])
+        total = np.zeros(n)
+        for at in range(0, len(terms), columns):
+            some, dense = terms[at : at + columns], []
+            for rows, (row, term, weight) in zip(n, sides):
+                col = np.minimum(np.searchsorted(some, term), len(some) - 1)
+                hit = some[col] == term
+                m = np.zeros((rows, len(some)))
+                m[row[hit], col[hit]] = weight[hit]
+                dense.append(m)
+            total += dense[0] @ dense[1].T
+        return total >= least - 1e-9
+
+    return near
+
+
 def hash_rows(vectors: DataFrame, how: Tables) -> DataFrame:
     """vectors -> (id, own array<bigint>, probes array<bigint>): the bucket of each table, and the probed ones."""
 
@@ -139,7 +161,7 @@ def similar_pairs(entries: DataFrame, threshold: float = 0.9, how: Tables = PAIR
     hashed = saved(hash_rows(single, how))
     rows = hashed.select(F.explode("own").alias("key"), "id", F.lit(True).alias("own"))
     rows = rows.unionByName(hashed.select(F.explode("probes").alias("key"), "id", F.lit(False).alias("own")))
-    candidates = bucket_pairs(rows, hashed.select("id", F.col("own").alias("keys")))
+    candidates = bucket_pairs(rows, hashed.select("id", F.col("own").alias("keys")), marks=single, near=near_by_cosine(threshold))
     return members, cosines(candidates, single).where(F.col("cosine") >= threshold)
 
 

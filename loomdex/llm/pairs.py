@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, saved
 
-#: Members above which a bucket is split by further keys.
-HOT = 64
+#: Members above which a bucket is not paired by a join; members of a block when it is paired by blocks.
+HOT, BLOCK = 64, 256
 
 
-def bucket_pairs(rows: DataFrame, keys_of: DataFrame, hot: int = HOT, levels: int = 2) -> DataFrame:
+def bucket_pairs(rows: DataFrame, keys_of: DataFrame, hot: int = HOT, levels: int = 2, marks: DataFrame | None = None, near: Callable[[pa.Table, pa.Table], np.ndarray] | None = None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ids that share a key of rows(key, id, own) and of which one owns it.
 
-    Buckets of up to `hot` members are joined with each other.  A larger bucket is never paired as a whole: its members are spread over narrower buckets, keyed by the
-    bucket and one of the member's other keys (keys_of(id, keys)); two rows that are close share many keys,
-    so they meet again in one of those.  After `levels` such splits what still is together shares that many
-    independent keys, which only near-copies do; these are joined as they are, split by AQE if skewed.
+    Buckets of up to `hot` members are joined with each other.  With marks(id, ...) and near, a larger bucket is paired
+    whole as well, in salted blocks of members against members: near(left, right) says of the blocks' marks which pairs
+    to keep, so that only those leave the task and none is lost.  Without them its members are spread over narrower
+    buckets, keyed by the bucket and one of the member's other keys (keys_of(id, keys)), which finds the pairs that share
+    such a key too.  After `levels` such splits what still is together shares that many independent keys, which only
+    near-copies do; these are joined as they are, split by AQE if skewed.
     """
     many = _shared(rows)
-    found = None
+    if near is not None:
+        pairs = _within(many.where(F.col("n") <= hot))
+        large = many.where(F.col("n") > hot)
+        return (pairs if large.isEmpty() else pairs.unionByName(_by_blocks(large, marks, near))).distinct()
+    many, found = many.withColumn("used", F.array("key")), None
     while True:
         last = levels <= 0
         calm = many if last else many.where(F.col("n") <= hot)
@@ -32,13 +42,35 @@ def bucket_pairs(rows: DataFrame, keys_of: DataFrame, hot: int = HOT, levels: in
         spread = (
             many.where(F.col("n") > hot)
             .join(keys_of.select("id", "keys"), "id")
-            .select("id", "own", "key", F.explode("keys").alias("other"))
-            .where("key <> other")
-            .select(F.xxhash64("key", "other").alias("key"), "id", "own")
+            .select("id", "own", "key", "used", F.explode("keys").alias("other"))
+            .where(~F.array_contains("used", F.col("other")))
+            .select(F.xxhash64("key", "other").alias("key"), "id", "own", F.concat("used", F.array("other")).alias("used"))
         )
         many = _shared(spread)
 
 
+def _by_blocks(many: DataFrame, marks: DataFrame, near: Callable[[pa.Table, pa.Table], np.ndarray], block: int = BLOCK) -> DataFrame:
+    """Pairs of members of the same bucket that near() keeps; a bucket's blocks of about `block` members meet two by two."""
+
+    def run(group: pa.Table) -> pa.Table:
+        part, first, second = group["part"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
+        left = group.filter(pa.array(part == first))
+        right = left if first == second else group.filter(pa.array(part == second))
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not (left.num_rows and right.num_rows):
+            return none
+        x, y = left["id"].to_numpy(), right["id"].to_numpy()
+        u, v = (np.asarray(t["own"].to_pylist(), bool) for t in (left, right))
+        p, q = np.nonzero(near(left, right) & (u[:, None] | v[None, :]) & (x[:, None] != y[None, :]))
+        return pa.table({"a": np.minimum(x[p], y[q]), "b": np.maximum(x[p], y[q])})
+
+    parts = F.ceil(F.col("n") / block)
+    placed = many.select("key", "id", "own", parts.alias("parts"), F.pmod(F.xxhash64("id", "key"), parts).alias("part"))
+    met = placed.select("key", "id", "own", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    met = met.select("key", "id", "own", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return met.join(marks, "id").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """rows with n, the members of their bucket, if it has more than one and one of them owns it.  Counts are summed
     map-side first, and the join is one whose skewed partitions AQE splits, so a key of a third of all rows is spread."""

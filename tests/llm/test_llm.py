@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import SF, connect, rows_of, rows_of_sql
 from pyspark.sql import functions as F
@@ -87,6 +88,26 @@ def test_hot_buckets_lose_no_pair(spark):
     assert len(got) < 2000  # not all pairs of the hot bucket
 
 
+def test_hot_buckets_are_paired_whole(spark):
+    """Close rows whose only common key is that of a hot bucket, looked up by some and owned by others."""
+    rows = spark.createDataFrame([(1, i, i % 5 != 0) for i in range(900)] + [(10_000 + i, i, True) for i in range(900)], "key long, id long, own boolean")
+    keyed = spark.createDataFrame([(i, [1, 10_000 + i]) for i in range(900)], "id long, keys array<bigint>")
+    marks = spark.createDataFrame([(i, i // 4) for i in range(900)], "id long, family long")
+    near = lambda x, y: x["family"].to_numpy()[:, None] == y["family"].to_numpy()[None, :]
+    got = [tuple(r) for r in pairs.bucket_pairs(rows, keyed, hot=20, marks=marks, near=near).collect()]
+    want = {(a, b) for a in range(900) for b in range(a + 1, 900) if a // 4 == b // 4 and (a % 5 or b % 5)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_tests_of_hot_buckets(spark, entries):
+    ids, c = cosine_matrix(entries)
+    table = neighbors.sparse_vectors(frame(spark, entries)).select("id", "terms", "weights").toArrow().sort_by("id")
+    assert (neighbors.near_by_cosine(0.5, columns=7)(table, table.slice(10)) == (c >= 0.5)[:, 10:]).all()
+    sig = np.random.default_rng(2).integers(0, 3, (40, 96)).astype(np.uint16)
+    table = pa.table({"sig": pa.array([x.tobytes() for x in sig], pa.binary())})
+    assert (neardup.near_by_hamming(64)(table, table.slice(5)) == ((sig[:, None] != sig[None]).sum(axis=2) <= 64)[:, 5:]).all()
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 200)] + [(500, 501), (501, 500), (7, 7)] + [(1000, i) for i in range(1001, 1400)]
     got = {r["id"]: r["root"] for r in pairs.components(spark.createDataFrame(chain, "a long, b long")).collect()}
