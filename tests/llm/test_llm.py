@@ -245,6 +245,13 @@ def test_saved_clusters_reach_a_fixpoint(spark, entries):
     assert all(c == (d % 1000) // 40 + 5 for d, c in got.items()) and len(got) > 350
 
 
+def test_saved_clusters_that_do_not_rest_are_not_returned(spark, entries):
+    """The second row's cluster goes to the first, so the second starts from one record and moves in its first round."""
+    saved = spark.createDataFrame([(1, ["1", "2", "3"]), (2, ["4"]), (3, ["41", "42"])], "cluster_id int, doc_ids array<string>")
+    with pytest.raises(RuntimeError, match="not settled"):
+        linkage.saved_clusters(frame(spark, entries), saved, rounds=1)
+
+
 PLAIN = [
     "Tickets cost $40 to $60, or $5 with a pass; 3$ to 4$ per unit -- a ~~ 47 percent change.",
     "The rule holds if a < b and c > d; i >= n || n == 0. In old code i ** 2 and j ** 3. A grid of 5 * 3 * 2 tiles.",
