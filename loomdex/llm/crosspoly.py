@@ -46,6 +46,29 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.float32(np.sqrt(d))
 
 
+def turned(x: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
+    """A pseudo-random rotation of each row."""
+    rng = np.random.default_rng(seed)
+    for _ in range(3):
+        x = hadamard(x * (rng.integers(0, 2, x.shape[1]).astype(np.float32) * 2 - 1))
+    return x
+
+
+def cells(x: np.ndarray, many: int, seed: int) -> np.ndarray:
+    """The cell of each row among at least `many`, by the signed axes nearest to it; as few rotations and axes as do."""
+    depth, width = 1, 1
+    while (2 * x.shape[1]) ** depth < many:
+        depth += 1
+    while (2 * width) ** depth < many:
+        width *= 2
+    cell = np.zeros(len(x), np.int64)
+    for digit in range(depth):
+        y = turned(x, (seed, digit))[:, :width]
+        axis = np.abs(y).argmax(axis=1)
+        cell = cell * (2 * width) + axis * 2 + (y[np.arange(len(y)), axis] > 0)
+    return cell
+
+
 @dataclass(frozen=True)
 class Tables:
     """How vectors are hashed: `tables` rotations of `dim` numbers, each cut into `blocks` blocks of
@@ -59,10 +82,7 @@ class Tables:
     seed: int = 7
 
     def rotated(self, x: np.ndarray, table: int) -> np.ndarray:
-        rng = np.random.default_rng((self.seed, table))
-        for _ in range(3):
-            x = hadamard(x * (rng.integers(0, 2, self.dim).astype(np.float32) * 2 - 1))
-        return x[:, : self.blocks * self.width].reshape(len(x), self.blocks, self.width)
+        return turned(x, (self.seed, table))[:, : self.blocks * self.width].reshape(len(x), self.blocks, self.width)
 
     def buckets(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         """Each vector's own bucket, and its own and probed buckets (n x (1 + probes))."""

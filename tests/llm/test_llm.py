@@ -195,41 +195,76 @@ def test_hadamard_keeps_lengths():
     assert np.allclose(crosspoly.hadamard(crosspoly.hadamard(x)), x, atol=1e-5)
 
 
-@pytest.mark.parametrize("few", [8000, 150])
-def test_clusters_are_the_groups(spark, entries, few):
+@pytest.mark.parametrize("block", [512, 40])
+def test_clusters_are_the_groups(spark, entries, block):
     vectors = neighbors.saved(neighbors.sparse_vectors(frame(spark, entries)))
-    got = {r["id"]: r["cluster"] for r in linkage.cluster_vectors(vectors, few=few).collect()}
+    got = {r["id"]: r["cluster"] for r in linkage.cluster_vectors(vectors, block=block).collect()}
     truth = {d: (d % 1000) // 40 for d in got}
     assert len(got) == len({int(d) for d, _ in entries})
     names = {}
     for d, c in got.items():
+        assert c <= d
         names.setdefault(c, []).append(truth[d])
     pure = sum(max(x.count(g) for g in set(x)) for x in names.values())
     assert pure / len(got) > 0.98
     assert sum(sorted(map(len, names.values()))[-8:]) > 0.9 * len(got)
 
 
-def test_no_cluster_is_left_out_by_rank(spark):
-    """Pairs of single records of cosine 0.25, beside more and larger clusters than one task takes."""
-    v = {(str(g * 10 + i), f"g{g}t{j}"): 1.0 for g in range(30) for i in range(3) for j in range(20)}
-    for p in range(20):
-        for i in range(2):
-            v |= {(str(1000 + 2 * p + i), f"p{p}s{j}"): 1.0 for j in range(5)} | {(str(1000 + 2 * p + i), f"p{p}i{i}o{j}"): 1.0 for j in range(15)}
-    vectors = neighbors.saved(neighbors.sparse_vectors(frame(spark, v)))
-    few, whole = ({r["id"]: r["cluster"] for r in linkage.cluster_vectors(vectors, few=n).collect()} for n in (10, 8000))
-    assert sum(few[1000 + 2 * p] == few[1001 + 2 * p] for p in range(20)) >= 18
-    assert few == whole
+def average_linkage(cos, limit):
+    """Merges the best pair of all, one at a time, by mean cosine over all pairs of members."""
+    groups = [[i] for i in range(len(cos))]
+    while len(groups) > 1:
+        best = max((cos[np.ix_(x, y)].mean(), -i, -j) for i, x in enumerate(groups) for j, y in enumerate(groups[:i]))
+        if best[0] < limit:
+            break
+        groups[-best[2]] += groups.pop(-best[1])
+    return {frozenset(g) for g in groups}
 
 
-def test_exact_rounds_of_blocks_match_one_task(spark, entries):
+def test_linkage_is_that_of_one_pair_at_a_time():
+    rng = np.random.default_rng(4)
+    x = np.abs(rng.normal(size=(40, 12))) * (rng.random((40, 12)) < 0.4) + 1e-3
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    for limit in (0.3, 0.5, 0.7):
+        to = linkage.linked(x @ x.T, np.ones(40), limit)
+        assert {frozenset(np.flatnonzero(to == g).tolist()) for g in set(to.tolist())} == average_linkage(x @ x.T, limit)
+    same = np.ones((7, 4), np.float32) / 2  # ties
+    assert set(linkage.linked(same @ same.T, np.ones(7), 0.9).tolist()) == {0}
+
+
+def test_copies_that_fill_a_cell_become_one_cluster(spark):
+    """A third of all records are copies, far more than a block holds."""
+    v = {(str(i), f"a{j}"): 1.0 for i in range(300) for j in range(5)} | {(str(1000 + i), f"b{i}x{j}"): 1.0 for i in range(600) for j in range(5)}
+    got = {r["id"]: r["cluster"] for r in linkage.cluster_vectors(neighbors.saved(neighbors.sparse_vectors(frame(spark, v))), block=50).collect()}
+    assert {got[i] for i in range(300)} == {0} and len(set(got.values())) > 500
+
+
+def test_agreement_of_blocks_with_all_pairs_on_the_test_table(spark):
+    """Of the pairs of records that linkage over all pairs puts together, blocks do so too, nearly all."""
+    vectors = neighbors.saved(neighbors.sparse_vectors(spark.read.parquet(f"{SF}/vectors.parquet")))
+    some, whole = ({r["id"]: r["cluster"] for r in linkage.cluster_vectors(vectors, block=b).collect()} for b in (100, 4000))
+
+    def together(of):
+        groups = {}
+        for d, c in of.items():
+            groups.setdefault(c, []).append(d)
+        return {(a, b) for g in groups.values() for a in g for b in g if a < b}
+
+    x, y = together(some), together(whole)
+    assert len(x & y) > 0.8 * len(y) and len(x & y) > 0.8 * len(x)
+
+
+def test_clusters_need_linkage(spark, entries, monkeypatch):
+    saved = spark.createDataFrame([(g + 5, [str(g * 40 + 1), None, str(g * 40 + 2)]) for g in range(8)], "cluster_id int, doc_ids array<string>")
+    monkeypatch.setattr(linkage, "cluster_vectors", lambda v: v.select("id", F.col("id").alias("cluster")))
+    assert linkage.saved_clusters(frame(spark, entries), saved).count() == 0
+
+
+def test_means_by_broadcast_and_by_shuffle(spark, entries):
     vectors = neighbors.saved(neighbors.sparse_vectors(frame(spark, entries)))
-    sums = neighbors.saved(linkage._folded(vectors.select("id", "terms", "weights", F.col("id").alias("cluster"))))
-    want = {r["id"]: r["root"] for r in linkage._finish(sums, 0.18).collect()}
-    near = {r["id"]: r["best"] for r in linkage._nearest_sums(sums, sums, len(want), block=50).collect()}
-    assert near == {r["id"]: r["best"] for r in linkage._nearest_sums(sums, sums, len(want)).collect()} and set(near) == set(want)
-    left, to = linkage._exact_rounds(sums, len(want), 0.18, 1)
-    got = {i: i for i in want} | {r["old"]: r["new"] for r in to.collect()}
-    assert got == want and left.count() == len(set(want.values()))
+    means = linkage.mean_vectors(vectors, vectors.select("id", (F.col("id") % 1000 / 40).cast("long").alias("cluster")))
+    one, two = ({r["id"]: (r["cluster"], round(r["cosine"], 9), round(r["second"], 9)) for r in linkage.closest(vectors, means, most).collect()} for most in (10**6, 10))
+    assert one == two and len(one) == len({d for d, _ in entries})
 
 
 def test_cluster_report(spark, entries):
