@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_join, narrow, saved
@@ -28,8 +28,8 @@ def distinctive_terms(counts: DataFrame, mu: float = MU, min_records: int = MIN_
     the term's share P(t|d) ln(P(t|d) / P(t|C)) of the relative entropy between both.  Terms of fewer than
     `min_records` records are not scored (but count towards lengths and totals).
 
-    Returns (doc_id, term, tf, length, df, records, score): length is the record's sum of tf, df the records
-    that hold the term, records the number of records.  Cleaning: see clean_counts().  Lengths and document
+    Returns (doc_id, term, tf, length, df, records, background, score): length is the record's sum of tf, df the
+    records that hold the term, records the number of records, background = P(t|C).  Cleaning: see clean_counts().  Lengths and document
     frequencies are aggregated map-side; they are broadcast only while short, and joined by shuffle beyond.
     Ties need no order, empty tables give no rows.
     """
@@ -41,4 +41,24 @@ def distinctive_terms(counts: DataFrame, mu: float = MU, min_records: int = MIN_
     rows = bounded_join(bounded_join(tf, terms.where(F.col("df") >= min_records), "term"), lengths, "doc_id")
     background = F.col("total") / F.lit(everything or 1.0)
     model = (F.col("tf") + mu * background) / (F.col("length") + mu)
-    return rows.select("doc_id", "term", "tf", "length", "df", F.lit(records).cast("long").alias("records"), (model * F.ln(model / background)).alias("score"))
+    return rows.select("doc_id", "term", "tf", "length", "df", F.lit(records).cast("long").alias("records"), background.alias("background"), divergence(model, background).alias("score"))
+
+
+def divergence(model: Column, background: Column) -> Column:
+    """A term's share of the relative entropy between a model and the collection."""
+    return model * F.ln(model / background)
+
+
+def terms_of_weight(counts: DataFrame, least: float, mu: float = MU, **columns: str) -> DataFrame:
+    """The (record, term) of distinctive_terms() whose weight (tf / length) ln(records / df) / ln(records) is at least
+    `least`: selected by their divergence score, then checked.
+
+    The weight holds if tf / length >= r = least ln(records) / ln(records / df), so if P(t|d) is at least
+    (r length + mu P(t|C)) / (length + mu).  The score grows with P(t|d) above P(t|C), so where r >= P(t|C) it is at
+    least the score of that bound; the rest are kept for the check whatever their score."""
+    rows = distinctive_terms(counts, mu, **columns)
+    rarity = F.try_divide(F.ln(F.col("records") / F.col("df")), F.ln(F.col("records")))
+    share = F.try_divide(F.lit(least), rarity)
+    bound = divergence((share * F.col("length") + mu * F.col("background")) / (F.col("length") + mu), F.col("background"))
+    likely = rows.where((F.col("score") >= bound - 1e-9) | (share < F.col("background")))
+    return likely.where(F.try_divide(F.col("tf"), F.col("length")) * rarity >= least)

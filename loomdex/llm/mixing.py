@@ -42,58 +42,84 @@ def token_sizes(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_
 
 
 def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """What each source of targets(source, target_share, max_repeats) can give.
+    """What each source of targets(source, target_share, max_repeats) is to give.
 
-    Returns (source, target_share, max_repeats, docs, size, total, want, copies, odds, short): size of the source
-    (0 without documents), total size of all documents (of sources without a target too), want = target_share *
-    total, copies = whole copies that every document certainly gets, odds = chance of one more, short = the
-    source cannot reach its share.  A repeated source in targets counts once (largest share); rows with a null
-    source or share are dropped; a null max_repeats counts as 1.  One aggregation with map-side sums.
+    Returns (source, target_share, max_repeats, docs, all, want, copies, rest): all = size of the source (0 without
+    documents), want = target_share * size of all documents (of sources without a target too), copies = whole copies
+    that every document certainly gets, rest = the size still to be drawn, at most all.  A repeated source in targets
+    counts once (largest share); rows with a null source or share are dropped; a null max_repeats counts as 1.  One
+    aggregation with map-side sums.
     """
-    by = saved(sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("size")))
-    total = by.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+    by = saved(sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("all")))
+    total = by.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("total"))
     goal = narrow(targets, source=F.col("source").cast("string"), target_share=F.col("target_share").cast("double"), max_repeats=F.coalesce(F.col("max_repeats"), F.lit(1)).cast("int")).where("source is not null and target_share is not null")
     goal = goal.groupBy("source").agg(F.max_by(F.struct("target_share", "max_repeats"), "target_share").alias("g")).select("source", "g.*")
-    rows = goal.join(by, "source", "left").fillna(0, ["docs", "size"]).crossJoin(F.broadcast(total))  # one row
+    rows = goal.join(by, "source", "left").fillna(0, ["docs", "all"]).crossJoin(F.broadcast(total))  # one row
     rows = rows.withColumn("want", F.col("target_share") * F.col("total"))
-    rate = F.least(F.col("max_repeats").cast("double"), F.coalesce(F.try_divide("want", "size"), F.lit(0.0)))
-    return rows.select("*", F.floor(rate).cast("int").alias("copies"), (rate - F.floor(rate)).alias("odds"), (F.col("size") * F.col("max_repeats") < F.col("want")).alias("short"))
+    copies = F.least(F.col("max_repeats"), F.coalesce(F.floor(F.try_divide("want", "all")), F.lit(0)).cast("int"))
+    rest = F.when(F.col("copies") < F.col("max_repeats"), F.col("want") - F.col("copies") * F.col("all")).otherwise(0.0)
+    return rows.withColumn("copies", copies).select("source", "target_share", "max_repeats", "docs", "all", "want", "copies", rest.alias("rest"))
+
+
+def inclusion_odds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, scale): a document of size s is to be drawn with probability min(1, scale * s), so that the expected size
+    of the draw is the source's rest.  Solved over the sums of classes of like size, eight to a doubling."""
+    step = F.floor(F.log2(F.col("size").cast("double")) * 8).cast("int")
+    classes = bounded_join(sizes.where("size > 0 and id is not null"), plan.where("rest > 0").select("source", "rest"), "source")
+    classes = classes.groupBy("source", step.alias("step")).agg(F.first("rest").alias("rest"), F.sum("size").alias("a"), F.sum(F.col("size").cast("double") * F.col("size")).alias("b"), F.max("size").alias("top"))
+    # the largest classes are certain; of the others the draw takes what is left: scale = (rest - certain) / squares
+    w = Window.partitionBy("source").orderBy("step")  # a few hundred classes at most
+    squares = F.sum("b").over(w)
+    certain = F.sum("a").over(Window.partitionBy("source")) - F.sum("a").over(w)
+    tried = classes.select("source", "step", "top", ((F.col("rest") - certain) / squares).alias("scale"))
+    # all classes up to a step are drawn by chance if the largest of them has a probability of one at most
+    fits = tried.where("scale > 0 and scale * top <= 1").groupBy("source").agg(F.max_by("scale", "step").alias("scale"))
+    none = tried.groupBy("source").agg(F.max("scale").alias("most"))
+    return none.join(fits, "source", "left").select("source", F.coalesce("scale", "most").alias("scale"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
     """Chooses documents so that each source makes up its target share: (id, source, size, copies), copies > 0.
 
-    A document's expected number of copies is want / size of its source, at most max_repeats.  The whole part is
-    certain; for the rest, documents get the Pareto rank u/(1-u) / (p/(1-p)) with a random u and their
-    inclusion probability p, and the lowest ranks are taken until the size still wanted is filled (a document
-    that crosses the border is taken if that comes nearer).  Sizes are summed along the order in two levels, 4096
-    steps and the documents of the one step at the border, so no source is sorted in one task.
-    Null ids are dropped; documents of sources without target get no copy.
+    Every document gets the certain whole copies of its source.  For the rest, a document's inclusion probability p is
+    in proportion to its size (inclusion_odds()); with a random u it gets the Pareto rank u/(1-u) / (p/(1-p)), and the
+    lowest ranks are taken until the size still wanted is filled (a document that crosses the border is taken if that
+    comes nearer).  Sizes are summed along the ranks in two levels, 4096 steps and the documents of the one step at the
+    border, so no source is sorted in one task.  Null ids are dropped; documents of sources without target get no copy;
+    documents of size 0 get the certain copies only.
     """
+    sizes = saved(sizes)
     plan = saved(mix_plan(sizes, targets))
-    rows = bounded_join(sizes.where("id is not null"), plan.select("source", "copies", "odds", "want", F.col("size").alias("all")), "source")
+    odds = saved(inclusion_odds(sizes, plan))
+    goal = saved(plan.join(odds, "source", "left").select("source", "copies", "rest", "scale"))
+    rows = bounded_join(sizes.where("id is not null"), goal, "source")
     u = (F.pmod(F.xxhash64(F.lit(seed), "id", "source"), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
-    p = F.greatest(F.least(F.col("odds"), F.lit(1 - 1e-9)), F.lit(1e-9))
+    p = F.greatest(F.least(F.col("scale") * F.col("size"), F.lit(1 - 1e-9)), F.lit(1e-9))
     rank = (u / (1 - u)) / (p / (1 - p))
-    rows = saved(rows.select("id", "source", "size", "copies", "odds", (F.col("want") - F.col("copies") * F.col("all")).alias("rest"), rank.alias("rank"), F.floor(u * STEPS).cast("int").alias("step")))
-    steps = rows.where("odds > 0").groupBy("source", "step").agg(F.sum("size").alias("part"), F.first("rest").alias("rest"))
+    drawn = (F.col("rest") > 0) & (F.col("size") > 0)
+    rows = saved(rows.select("id", "source", "size", "copies", "rest", drawn.alias("drawn"), rank.alias("rank")).withColumn("step", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * STEPS), F.lit(STEPS - 1)).cast("int")))
+    steps = rows.where("drawn").groupBy("source", "step").agg(F.sum("size").alias("part"))
     before = F.coalesce(F.sum("part").over(Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    steps = saved(steps.select("source", "step", before.alias("before"), (before + F.col("part")).alias("after"), "rest"))
-    inside = rows.join(steps.select("source", "step", "before", "after"), ["source", "step"], "left")
-    border = inside.where("odds > 0 and before < rest and after > rest")
+    steps = saved(steps.select("source", "step", before.alias("before"), (before + F.col("part")).alias("after")))
+    inside = rows.join(steps, ["source", "step"], "left")
+    at_border = F.col("drawn") & (F.col("before") < F.col("rest")) & (F.col("after") > F.col("rest"))
     ahead = F.coalesce(F.sum("size").over(Window.partitionBy("source", "step").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
-    border = border.withColumn("ahead", ahead).withColumn("more", (F.col("ahead") + F.col("size") / 2 <= F.col("rest")).cast("int"))
-    others = inside.where("not (odds > 0 and before < rest and after > rest)").withColumn("more", ((F.col("odds") > 0) & (F.col("after") <= F.col("rest"))).cast("int"))
+    border = inside.where(at_border).withColumn("ahead", ahead).withColumn("more", (F.col("ahead") + F.col("size") / 2 <= F.col("rest")).cast("int"))
+    others = inside.where(~at_border).withColumn("more", (F.col("drawn") & (F.col("after") <= F.col("rest"))).cast("int"))
     chosen = border.select("id", "source", "size", "copies", "more").unionByName(others.select("id", "source", "size", "copies", "more"))
-    return chosen.select("id", "source", "size", (F.col("copies") + F.col("more")).cast("int").alias("copies")).where("copies > 0")
+    return chosen.select("id", "source", "size", (F.col("copies") + F.coalesce("more", F.lit(0))).cast("int").alias("copies")).where("copies > 0")
 
 
 def mix_report(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
-    """One row per source of targets: source, target_share, actual_share, docs_used, copies_used, size_used, short."""
+    """One row per source of targets: source, target_share, actual_share, docs_used, copies_used, size_used, short.
+
+    short: the choice used every document of the source max_repeats times and stayed below the size that was wanted."""
     sizes = saved(sizes)
     plan = mix_plan(sizes, targets)
     used = mix(sizes, targets, seed).groupBy("source").agg(F.count("*").alias("docs_used"), F.sum("copies").alias("copies_used"), F.sum(F.col("size") * F.col("copies")).alias("size_used"))
-    rows = saved(plan.select("source", "target_share", "short").join(used, "source", "left").fillna(0, ["docs_used", "copies_used", "size_used"]))
+    rows = plan.join(used, "source", "left").fillna(0, ["docs_used", "copies_used", "size_used"])
+    short = (F.col("size_used") == F.col("all") * F.col("max_repeats")) & (F.col("size_used") < F.col("want"))
+    rows = saved(rows.select("source", "target_share", "docs_used", "copies_used", "size_used", short.alias("short")))
     whole = rows.agg(F.sum("size_used").alias("whole"))
     return rows.crossJoin(F.broadcast(whole)).select("source", "target_share", F.coalesce(F.try_divide("size_used", "whole"), F.lit(0.0)).alias("actual_share"), "docs_used", "copies_used", "size_used", "short")  # whole is one row
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .distinctive import distinctive_terms
+from .distinctive import distinctive_terms, terms_of_weight
 from .leakage import leaks
 from .linkage import clusters_of, saved_clusters
 from .markup import clean_text, markup_residue
-from .mixing import mix_plan, mix_report, mix_selection, piece_sizes, token_sizes
+from .mixing import mix_report, mix_selection, piece_sizes, token_sizes
 from .neardup import duplicate_groups, duplicate_pairs
 from .neighbors import nearest, record_pairs, similar_pairs
 from .quality import text_kinds
@@ -22,11 +22,6 @@ def _tables(names: str, f: Callable[..., DataFrame]) -> Callable[[SparkSession,
     return lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names.split()))
 
 
-def p4_found(tf: DataFrame) -> DataFrame:
-    score = F.try_divide(F.col("tf"), F.col("length")) * F.try_divide(F.ln(F.col("records") / F.col("df")), F.ln(F.col("records")))
-    return distinctive_terms(tf).where((F.col("df") >= 2) & (score >= 0.12)).select("doc_id", "term")
-
-
 def p9_found(documents: DataFrame, stopword: DataFrame) -> DataFrame:
     kinds = text_kinds(documents, stopword)
     return kinds.where("kind <> 'prose' and kind = label and not coalesce(marked, false)").select("doc_id", "kind")
@@ -46,7 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": _tables("documents", markup_residue),
         "p3_text": _tables("documents", clean_text),
         "p3_page_text": _tables("page", lambda p: clean_text(p, id_col="id", id_type="string")),
-        "p4_found": _tables("tf", p4_found),
+        "p4_found": _tables("tf", lambda tf: terms_of_weight(tf, 0.12).select("doc_id", "term")),
         "p4_scores": _tables("tf", lambda tf: distinctive_terms(tf).select("doc_id", "term", "tf", "df", F.round("score", 6).alias("score"))),
         "p5_found": _tables("vectors clusters", saved_clusters),
         "p5_clusters": _tables("vectors", lambda v: clusters_of(v)[1]),
@@ -54,7 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_frequencies": _tables("tf", lambda tf: term_frequencies(tf).select("term", "total", "df", "mark")),
         "p7_found": _tables("documents benchmark", lambda d, b: leaks(d, b).select("doc_id", "item_id")),
         "p7_report": _tables("documents benchmark", lambda d, b: leaks(d, b).select("doc_id", "item_id", "longest_run", F.round("share", 6).alias("share"))),
-        "p8_found": _tables("documents mix_target", lambda d, t: mix_plan(piece_sizes(d), t).where("short").select("source")),
+        "p8_found": _tables("documents mix_target", lambda d, t: mix_report(piece_sizes(d), t).where("short").select("source")),
         "p8_mix": _tables("documents mix_target", lambda d, t: mix_selection(token_sizes(d), t).withColumnRenamed("id", "doc_id")),
         "p8_shares": _tables("documents mix_target", lambda d, t: mix_report(token_sizes(d), t)),
         "p9_found": _tables("documents stopword", p9_found),

@@ -350,7 +350,7 @@ def test_distinctive_terms_by_hand(spark):
     p = (3 + 2 * q) / (4 + 2)
     assert math.isclose(got["1", "cat"]["score"], p * math.log(p / q)) and got["1", "cat"]["records"] == 3 and got["1", "cat"]["df"] == 2
     assert distinctive.distinctive_terms(df.limit(0)).count() == 0
-    assert queries.p4_found(df.where("doc_id = '1'")).count() == 0
+    assert distinctive.terms_of_weight(df.where("doc_id = '1'"), 0.12).count() == 0
 
 
 def test_term_frequencies_split_and_whole(spark):
@@ -400,7 +400,8 @@ def test_mix_reaches_targets(spark):
     sizes = spark.createDataFrame(rows, "id long, source string, size long")
     goal = spark.createDataFrame([("big", 0.3, 1), ("mid", 0.3, 3), ("small", 0.25, 5), ("tiny", 0.1, 4), ("none", 0.05, 2), (None, 0.5, 1), ("big", 0.3, 1)], "source string, target_share double, max_repeats int")
     plan = {r["source"]: r for r in mixing.mix_plan(sizes, goal).collect()}
-    assert {s for s, r in plan.items() if r["short"]} == {"tiny", "none"} and set(plan) == {"big", "mid", "small", "tiny", "none"}
+    assert set(plan) == {"big", "mid", "small", "tiny", "none"}
+    assert {r["source"] for r in mixing.mix_report(sizes, goal).collect() if r["short"]} == {"tiny", "none"}
     chosen = mixing.mix(sizes, goal, seed=3).collect()
     total = sum(r[2] for r in rows)
     used = {}
@@ -416,6 +417,34 @@ def test_mix_reaches_targets(spark):
     assert math.isclose(sum(report.values()), 1) and report["none"] == 0
 
 
+def test_inclusion_is_in_proportion_to_size(spark):
+    rows = [(i, "s", 10 + 10 * (i % 4)) for i in range(400)] + [(1000, "s", 5000), (1001, "s", 0)]
+    sizes = spark.createDataFrame(rows, "id long, source string, size long")
+    goal = spark.createDataFrame([("s", 0.6, 1)], "source string, target_share double, max_repeats int")
+    scale = mixing.inclusion_odds(sizes, mixing.mix_plan(sizes, goal)).first()["scale"]
+    rest = 0.6 * sum(r[2] for r in rows)
+    assert abs(sum(min(1, scale * r[2]) * r[2] for r in rows) - rest) < 0.02 * rest
+    seen = {10: 0, 20: 0, 30: 0, 40: 0}
+    for seed in range(6):
+        got = mixing.mix(sizes, goal, seed=seed).collect()
+        assert abs(sum(r["size"] for r in got) - rest) <= 40 and 1000 in {r["id"] for r in got} and 1001 not in {r["id"] for r in got}
+        for r in got:
+            if r["id"] < 1000:
+                seen[r["size"]] += 1
+    for s, n in seen.items():
+        assert abs(n / 600 - scale * s) < 0.06
+
+
+def test_weights_are_those_of_all_scored_terms(spark):
+    rng = random.Random(8)
+    rows = [(str(d), f"t{min(int(rng.expovariate(0.15)), 60)}", rng.randrange(1, 9)) for d in range(80) for _ in range(rng.randrange(1, 12))] + [(str(d), "all", 40) for d in range(80)]
+    tf = spark.createDataFrame(rows, "doc_id string, term string, tf long")
+    for least in (0.02, 0.12, 0.3):
+        want = {(r["doc_id"], r["term"]) for r in distinctive.distinctive_terms(tf).collect() if r["tf"] / r["length"] * math.log(r["records"] / r["df"]) / math.log(r["records"]) >= least}
+        assert {(r["doc_id"], r["term"]) for r in distinctive.terms_of_weight(tf, least).collect()} == want and want
+    assert distinctive.terms_of_weight(tf.limit(0), 0.12).count() == 0
+
+
 def test_sizes(spark):
     df = spark.createDataFrame([(1, "", " a b\nc\u00a0d ", "s", "i", "k", 1), (2, "", None, "s", "i", "k", 1), (3, "", "", "s", "i", "k", 1)], DOCS)
     assert [r["size"] for r in mixing.piece_sizes(df).orderBy("id").collect()] == [4, 0, 0]
