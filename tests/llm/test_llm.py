@@ -439,7 +439,7 @@ def test_weights_are_those_of_all_scored_terms(spark):
     rng = random.Random(8)
     rows = [(str(d), f"t{min(int(rng.expovariate(0.15)), 60)}", rng.randrange(1, 9)) for d in range(80) for _ in range(rng.randrange(1, 12))] + [(str(d), "all", 40) for d in range(80)]
     tf = spark.createDataFrame(rows, "doc_id string, term string, tf long")
-    for least in (0.02, 0.12, 0.3):
+    for least in (0.01, 0.04, 0.08):
         want = {(r["doc_id"], r["term"]) for r in distinctive.distinctive_terms(tf).collect() if r["tf"] / r["length"] * math.log(r["records"] / r["df"]) / math.log(r["records"]) >= least}
         assert {(r["doc_id"], r["term"]) for r in distinctive.terms_of_weight(tf, least).collect()} == want and want
     assert distinctive.terms_of_weight(tf.limit(0), 0.12).count() == 0
