@@ -24,7 +24,7 @@ def _tables(names: str, f: Callable[..., DataFrame]) -> Callable[[SparkSession,
 
 def p9_found(documents: DataFrame, stopword: DataFrame) -> DataFrame:
     kinds = text_kinds(documents, stopword)
-    return kinds.where("kind <> 'prose' and kind = label and not coalesce(marked, false)").select("doc_id", "kind")
+    return kinds.where("kind <> 'prose' and not marked").select("doc_id", "kind")
 
 
 def p9_statistics(documents: DataFrame, stopword: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from compare import SF, connect, rows_of, rows_of_sql
 from pyspark.sql import functions as F
 
-from loomdex.llm import crosspoly, distinctive, junk, leakage, linkage, markup, mixing, neardup, neighbors, pairs, quality, queries, termstats, words
+from loomdex.llm import crosspoly, distinctive, junk, labelled, leakage, linkage, markup, mixing, neardup, neighbors, pairs, quality, queries, termstats, words
 
 DOCS = "doc_id long, title string, text string, source string, id string, key string, n long"  # id, key, n: names the operators use themselves
 
@@ -455,30 +455,51 @@ KINDS = [
     ("The old house stands on the hill. It was built long ago, and nobody lives there now.\nPeople come to see it.", "prose"),
     ("- Rome\n- old harbor of Tyre\n- Paris, 1204\n- the long road", "list"),
     ("Some words of lead, which end here.\n(1) one\n(2) two three\n(3) four, 1920", "list"),
-    ("a | b | c\n1 | 2 | 3\n4 |  | 6", "table"), ("a;b;c\n1;2;3", "table"), ("a\tb\tc\n1\t2\t3", "table"), ("x    12    3\ny    15    4", "table"), ("Ana, 1926-08-05, yes\nBo, 1932-01-13,", "table"), ("a / b / c\n1 / 2 / 3", "table"),
-    ("00000000  96 4c de c1 d1 25 f6 3a\n00000010  b3 a7 5f f5 81 b4 0c 4d", "junk"), ("%%%% ==== ----\n///// ~~~~ ^^^", "junk"), ("dlngrjhxgm bzxcfbs mxk wvnhwmntzqt ljsv gtpwpfqdc", "junk"), ("one two three. " * 20, "junk"), ("Ã©Ã¶ Ã©rumâ€œ ��bin â€™â€œ Ã©", "junk"),
+    *((sep.join(("town", "founded", "people")) + "\n" + "\n".join(sep.join((name, str(1200 + 31 * i), str(977 * i))) for i, name in enumerate(("Alba", "Borgo", "Cato", "Dover", "Elba"), 1)), "table") for sep in ("\t", " | ", "|", ";", "    ", " / ", ", ")),
+    ("\n".join(f"{16 * i:08x}  " + " ".join(f"{(37 * i * j + 11 * j) % 256:02x}" for j in range(16)) for i in range(9)), "junk"), ("%%%% ==== ----\n///// ~~~~ ^^^", "junk"), ("dlngrjhxgm bzxcfbs mxk wvnhwmntzqt ljsv gtpwpfqdc", "junk"), ("one two three. " * 40, "junk"), ("Ã©Ã¶ Ã©rumâ€œ ��bin â€™â€œ Ã©", "junk"),
     ("KDGj1jQnbN+OQa8CFxD+QpVEPYHiWdA7mLuB617582neibJndrK5xwI1SAnKvN8T\n8Hn9OyDPqkazctyK/OMnh1sPTrnnUHxEk", "junk"),
 ]
 
 
-@pytest.mark.parametrize("text,kind", KINDS)
-def test_kinds_by_definition(text, kind):
-    f = dict(zip(junk.FEATURES, junk.features(text)))
-    assert quality.label(f, len(text.split())) == kind
+@pytest.fixture(scope="module")
+def rules(spark):
+    path = SF.replace("0.001", "0.1")
+    return quality.fit_rules(quality.labelled_statistics(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/stopword.parquet"), 300))
 
 
-def test_rules_on_held_out_documents(spark):
-    path = SF.replace("0.001", "0.1")
-    d, s = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/stopword.parquet")
-    rows = quality.text_statistics(d, s).where("label is not null").select("doc_id", "label", *junk.FEATURES).toPandas().sort_values("doc_id")
-    x, y = rows[junk.FEATURES].to_numpy(float), rows["label"].to_numpy(str)
-    rules = quality.induce(x[::2], y[::2])
-    said, done = np.full(len(x), "prose", object), np.zeros(len(x), bool)
-    for rule, kind in rules:
-        c = quality._covers(rule, x) & ~done
-        said[c] = kind
-        done |= c
-    assert (said[1::2] == y[1::2]).mean() > 0.995
+def kinds_by(rules, x):
+    got = np.full(len(x), "prose", dtype="<U5")
+    for rule, kind in reversed(rules):
+        got[quality._covers(rule, x)] = kind
+    return got
+
+
+@pytest.mark.parametrize("text,kind", KINDS)
+def test_kinds_of_known_texts(rules, text, kind):
+    assert kinds_by(rules, np.array([junk.features(text)])) == [kind]
+
+
+def test_rules_on_held_out_documents(rules):
+    """Rules fitted on some texts' documents, tried on those made of other words."""
+    rng = random.Random(23)
+    words = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    made = [d for i in range(60) for d in labelled.documents("\n".join(" ".join(rng.choice(words) for _ in range(14)) + "." for _ in range(12)), 10_000 + i)]
+    kinds = np.array([k for k, _ in made])
+    got = kinds_by(rules, np.array([junk.features(t) for _, t in made]))
+    for kind, least in (("prose", 0.98), ("list", 0.98), ("table", 0.98), ("junk", 0.95)):
+        assert (got[kinds == kind] == kind).mean() > least and (kinds[got == kind] == kind).mean() > least
+
+
+def test_lists_and_tables_are_those_of_the_definition(spark, rules):
+    """On real documents without markup or junk, the rules say table or list where more than half of the lines do."""
+    path = SF.replace("0.001", "0.01")
+    d = spark.read.parquet(f"{path}/documents.parquet").where("length(trim(text)) > 0").toPandas()
+    x = np.array([junk.features(t) for t in d["text"]])
+    got = kinds_by(rules, x)
+    table, entries = junk.FEATURES.index("table_share"), junk.FEATURES.index("list_share")
+    sure = got != "junk"
+    want = np.where(x[:, table] > 0.5, "table", np.where(x[:, entries] > 0.5, "list", "prose"))
+    assert (got[sure] == want[sure]).mean() > 0.99
 
 
 def test_statistics_by_hand(spark):
