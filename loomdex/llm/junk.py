@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 _HEX = re.compile(r"^[0-9a-fA-F]{6,8}:?\s+(?:[0-9a-fA-F]{2}\s+){4,}", re.M)
 _HARD = re.compile(r"(?<![^\W\d_])(?<!&)[b-df-hj-np-tv-xz]{4,}(?![^\W\d_])", re.I)
@@ -42,10 +43,9 @@ def line_shares(lines: list[str]) -> tuple[float, float]:
             table = max(table, sum(_row(x, j) for x in some))
     entries = 0
     for x in lines:
-        if len(x) < 160 and not x.rstrip().endswith(_END):
+        if not x.rstrip().endswith(_END):
             m = _BULLET.match(x)
-            body = x[m.end() :] if m else x
-            entries += 0 < len(_WORD.findall(body)) <= 6
+            entries += 0 < sum(1 for _ in islice(_WORD.finditer(x, m.end() if m else 0), 7)) <= 6
     return table / n, entries / n
 
 

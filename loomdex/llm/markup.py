@@ -1,7 +1,7 @@
 """Markup residue: which markup a text still holds, and the text without it.
 
-detect() looks for signs of HTML, Markdown, wiki and LaTeX markup and leaves those that plain prose uses in
-their ordinary sense.  to_text() streams the text through the standard library's HTML parser and line-wise
+detect() counts the tags that the parser's events give and the marks that line readers of Markdown, wiki and LaTeX take,
+and leaves those that plain prose uses in their ordinary sense.  to_text() streams the text through the standard library's HTML parser and line-wise
 readers of the other markups into lines with a kind (heading, list, code, formula, table, text); for HTML,
 lines far from the page's content are dropped by the smoothed text-to-tag ratio.
 """
@@ -29,12 +29,14 @@ LATEX_BARE = "item noindent maketitle tableofcontents centering newpage clearpag
 
 _TAG = "|".join(HTML_TAGS)
 _WIKI_ONLY = "ref|references|math|nowiki|syntaxhighlight|gallery|noinclude|includeonly|onlyinclude|poem"
+_WIKI_NAMES = frozenset(_WIKI_ONLY.split("|"))
 _LEGACY = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True))
 
 #: A tag of HTML: opened, closed, with attributes (over lines, unquoted too), with stray blanks.
 _ATTR = r"\s+[a-z-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>]+)"
 HTML_TAG = re.compile(rf"<(?:{_TAG})(?:{_ATTR})*\s*/?\s*>|<\s(?:{'|'.join(t for t in HTML_TAGS if len(t) > 1)})(?:{_ATTR})*\s*/?\s*>|<\s?/\s?(?:{_TAG})\s*>", re.I)
-HTML_REST = re.compile(r"<!--|-->|<!doctype|<\?xml|<!\[CDATA\[|\b(?:href|src|style|class|align|colspan|rowspan)\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*')\s*/?>", re.I)
+_DECLARED = re.compile(r"<!--|<!doctype|<\?xml|<!\[CDATA\[", re.I)
+HTML_REST = re.compile(r"-->|\b(?:href|src|style|class|align|colspan|rowspan)\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*')\s*/?>", re.I)
 ENTITY = re.compile(rf"&#\d{{1,7}};|&#[xX][0-9a-fA-F]{{1,6}};|&[A-Za-z][A-Za-z0-9]{{1,30}};|&(?:{_LEGACY})(?![\w;=])")
 WIKI_TAG = re.compile(rf"<\s?/?\s?(?:{_WIKI_ONLY})(?:\s[^<>]*)?/?\s*>", re.I)
 WIKI = [
@@ -102,6 +104,58 @@ def _blank(m: re.Match) -> str:
     return "\n" * m.group().count("\n") or " "
 
 
+_LOOSE = re.compile(r"<(\s?)(/?)(\s?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>")
+
+
+def _tightened(m: re.Match) -> str:
+    """A tag of known name with stray blanks as the parser reads it; one letter after a blank is a sign of comparison."""
+    if m[4].lower() not in _KNOWN or (m[1] and not m[2] and len(m[4]) == 1):
+        return m[0]
+    return f"<{m[2]}{m[4]}{re.sub(r'/ +$', '/', m[5].rstrip())}>"
+
+
+class _Tags(HTMLParser):
+    """Counts the tags of wiki text and of HTML that the parser's events give, and what is left of cut ones.  An event is
+    a tag if its text is well formed: `<b and c>` in a sentence is none."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=False)
+        self.wiki = self.html = self.rest = 0
+        self.text: list[str] = []
+
+    def read(self, text: str) -> None:
+        if "<" in text:
+            self.rest = len(_DECLARED.findall(text))
+            self.feed(_LOOSE.sub(_tightened, text))
+            self.close()
+            text = "".join(self.text)
+        self.rest += len(HTML_REST.findall(text))
+
+    def _tag(self, tag: str, raw: str) -> None:
+        if tag in _WIKI_NAMES and WIKI_TAG.fullmatch(raw):
+            self.wiki += 1
+        elif HTML_TAG.fullmatch(raw):
+            self.html += 1
+        else:
+            self.text.append(raw)
+            return
+        self.text.append(" ")
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._tag(tag, self.get_starttag_text() or "")
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag: str) -> None:
+        self._tag(tag, f"</{tag}>")
+
+    def handle_data(self, data: str) -> None:
+        self.text.append(data)
+
+    def set_cdata_mode(self, *_: object, **__: object) -> None:
+        """Whole scripts are regions of code and gone before; after the start of a cut one, text goes on."""
+
+
 def signs(text: str) -> dict[str, dict[str, int]]:
     """Counts of each kind of sign, by markup; signs within code regions and formulas count for the region only."""
     out: dict[str, dict[str, int]] = {"html": {}, "markdown": {}, "wiki": {}, "latex": {}}
@@ -129,10 +183,11 @@ def signs(text: str) -> dict[str, dict[str, int]]:
         add("latex", "display", n)
         text = LATEX[5][1].sub(_blank, text)
     if "<" in text or ">" in text or "=" in text:
-        add("wiki", "tag", len(WIKI_TAG.findall(text)))
-        rest = WIKI_TAG.sub(" ", text)
-        add("html", "tag", len(HTML_TAG.findall(rest)))
-        add("html", "rest", len(HTML_REST.findall(HTML_TAG.sub(" ", rest))))
+        seen = _Tags()
+        seen.read(text)
+        add("wiki", "tag", seen.wiki)
+        add("html", "tag", seen.html)
+        add("html", "rest", seen.rest)
     if "&" in text:
         add("html", "entity", sum(m[1:] in html.entities.html5 or m[1] == "#" or m[1:] + ";" in html.entities.html5 for m in ENTITY.findall(text)))
     if "\\" in text or "$" in text or "``" in text:
@@ -173,7 +228,7 @@ def _inline(line: str, kinds: set[str]) -> str:
     if "latex" in kinds:
         line = re.sub(r"(?<!\\)%.*$", "", line, flags=re.M)
         line = re.sub(r"\\(?:cite[a-z]*|ref|eqref|pageref|label|vspace\*?|hspace\*?|includegraphics|footnotemark|footnotetext|bibliography(?:style)?|input|usepackage|documentclass|pagestyle)\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})?", "", line)
-        for _ in range(4):
+        while True:
             line, n = re.subn(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", line)
             line, m = re.subn(r"\{\\[A-Za-z]+[ \\]([^{}]*)\}", r"\1", line)
             if not n + m:
@@ -189,7 +244,8 @@ def _inline(line: str, kinds: set[str]) -> str:
         line = re.sub(r"\{\\[A-Za-z]+[ \\]", "", line)
         line = re.sub(r"(?<=\w)~(?=\w)", " ", line)
     if "wiki" in kinds:
-        for _ in range(3):
+        line = re.sub(r"\{\{(?:lang|nowrap|small|big)\|(?:[^{}|]*\|)*([^{}|]*)\}\}", r"\1", line, flags=re.I)  # templates that only dress their text
+        while True:
             line, n = re.subn(r"\{\{[^{}]*\}\}", "", line)
             if not n:
                 break
@@ -230,7 +286,22 @@ class _Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, str, int, int]] = []
         self.kind, self.buffer, self.tags, self.linked = "text", [], 0, 0
-        self.hidden, self.link, self.stack = "", 0, []
+        self.hidden, self.held, self.link = "", [], 0
+
+    def finish(self) -> None:
+        """Ends the text; what an element hides that was never closed comes out."""
+        if self.cdata_elem:  # a script without end: the parser would keep the rest
+            rest, self.rawdata = self.rawdata, ""
+            self.clear_cdata_mode()
+            self.handle_data(rest)
+        self.close()
+        self.show()
+        self.end_line()
+
+    def show(self) -> None:
+        held, self.hidden, self.held = self.held, "", []
+        for data in held:
+            self.handle_data(data)
 
     def end_line(self) -> None:
         text = "".join(self.buffer)
@@ -245,6 +316,8 @@ class _Events(HTMLParser):
             self.handle_data(self.get_starttag_text() or "")
             return
         self.tags += 1
+        if self.hidden and (tag in self.BLOCK or tag in self.HIDDEN):
+            self.show()  # the element was not closed before the next block
         if tag in self.HIDDEN:
             if not (self.get_starttag_text() or "").rstrip().endswith("/>"):
                 self.hidden = tag
@@ -282,7 +355,7 @@ class _Events(HTMLParser):
             return
         self.tags += 1
         if tag == self.hidden:
-            self.hidden = ""
+            self.hidden, self.held = "", []
         elif tag == "a":
             self.link = max(0, self.link - 1)
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "syntaxhighlight", "source", "math", "ul", "ol", "table", "tr") or tag in self.BLOCK:
@@ -291,6 +364,7 @@ class _Events(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.hidden:
+            self.held.append(data)
             return
         parts = data.split("\n")
         for j, part in enumerate(parts):
@@ -304,13 +378,13 @@ class _Events(HTMLParser):
 _KNOWN = frozenset(HTML_TAGS) | frozenset(WIKI_TAGS)
 
 
-def content_lines(lines: list[tuple[str, str, int, int]], sigma: float = 2.0) -> list[bool]:
+def content_lines(lines: list[tuple[str, str, int, int]], sigma: float = 2.0, apart: float = 2.0) -> list[bool]:
     """Which lines belong to the content, by their text-to-tag ratio: the ratios are smoothed with a Gaussian and
-    clustered in two by a threshold that is moved between the means of both sides until it rests.  Only lines that
-    consist of links and lie on the low side are left out (menus, footers); headings, lists, code and short lines stay."""
-    n = len(lines)
-    if n < 12 or sum(x[2] for x in lines) < 12:
-        return [True] * n
+    clustered in two by a threshold that is moved between the means of both sides until it rests.  If the means are less
+    than `apart` times each other there is one region only.  Lines of the low region go if they consist of links (menus,
+    footers); headings, lists, code and short lines stay."""
+    if not lines:
+        return []
     ratio = np.array([len(text.strip()) / max(1, tags) for _, text, tags, _ in lines])
     reach = int(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
@@ -324,6 +398,9 @@ def content_lines(lines: list[tuple[str, str, int, int]], sigma: float = 2.0) ->
         if abs(moved - cut) < 1e-6:
             break
         cut = moved
+    low, high = smooth[smooth <= cut], smooth[smooth > cut]
+    if not len(low) or not len(high) or high.mean() < apart * low.mean():
+        return [True] * len(lines)
     return [bool(smooth[j] > cut or linked < 0.6 * max(1, len(text.strip())) or not text.strip()) for j, (_, text, _, linked) in enumerate(lines)]
 
 
@@ -343,8 +420,7 @@ def blocks_of(text: str | None, kinds: list[str] | None = None) -> list[tuple[st
             text = re.sub(r"^ {0,3}(```|~~~)([^\n]*)\n(.*?)^ {0,3}\1[ \t]*$", lambda m: f"<pre>{html.escape(m[3])}</pre>", text, flags=re.M | re.S)
         events = _Events()
         events.feed(text)
-        events.close()
-        events.end_line()
+        events.finish()
         keep = content_lines(events.lines) if "html" in found else [True] * len(events.lines)
         rows = [(k, x) for (k, x, _, _), ok in zip(events.lines, keep) if ok]
         if "html" in found:  # what the parser gives out as text may hold doubly escaped entities and scraps of tags
@@ -358,6 +434,7 @@ def _lines(rows: list[tuple[str, str]], found: set[str]) -> Iterator[tuple[str,
     """Reads lines of wiki, Markdown and LaTeX; lines that came with another kind than text pass."""
     rest = found & {"wiki", "markdown", "latex"}
     mode, fence = "", ""
+    closed = max((j for j, (_, x) in enumerate(rows) if "}}" in x), default=-1)
     for j, (kind, line) in enumerate(rows):
         if kind == "code" or not rest:
             yield kind, line
@@ -379,11 +456,25 @@ def _lines(rows: list[tuple[str, str]], found: set[str]) -> Iterator[tuple[str,
             mode = "formula"
             continue
         if "latex" in rest:
-            if m := re.match(r"\\begin\{([a-z]+)\*?\}", bare):
+            if m := re.match(r"\\begin\{([a-z]+)(\*?)\}(?:\[[^\]]*\])?", bare):
+                inside, after = bare[m.end() :], ""
                 if m[1] in _ENV:
                     mode = _ENV[m[1]]
+                    if (end := inside.find(f"\\end{{{m[1]}{m[2]}}}")) >= 0:
+                        after = inside[end + len(m[1]) + len(m[2]) + 6 :]
+                        inside = inside[:end]
+                    if inside.strip():
+                        yield mode, inside.strip()
+                    mode = "" if end >= 0 else mode
+                    inside = after
+                if inside.strip() and not mode and not re.fullmatch(r"(?:\{[^{}]*\})+", inside.strip()):
+                    yield "text", _inline(inside.strip(), rest)
                 continue
-            if re.match(r"\\end\{", bare) or re.fullmatch(r"\\(?:maketitle|tableofcontents|centering|hline|documentclass.*|usepackage.*)", bare):
+            if m := re.match(r"\\end\{[^{}]*\}", bare):
+                if bare[m.end() :].strip():
+                    yield "text", _inline(bare[m.end() :].strip(), rest)
+                continue
+            if re.fullmatch(r"\\(?:maketitle|tableofcontents|centering|hline|documentclass.*|usepackage.*)", bare):
                 continue
             if (m := re.fullmatch(r"\\([a-z]+)\*?\{(.*)\}", bare)) and m[1] in _HEADS:
                 yield "heading", _inline(m[2], rest)
@@ -395,8 +486,10 @@ def _lines(rows: list[tuple[str, str]], found: set[str]) -> Iterator[tuple[str,
             if m := re.fullmatch(r"(={2,6})[ \t]*(.+?)[ \t]*\1", bare):
                 yield "heading", _inline(m[2], rest)
                 continue
-            if bare.startswith(("{|", "|}", "|-", "{{")) and not bare.endswith("}}") or bare == "}}":
+            if bare.startswith(("{|", "|}", "|-")) and not bare.endswith("}}") or bare == "}}":
                 continue
+            if bare.startswith("{{") and "}}" not in bare and j < closed:
+                continue  # a template over several lines
             if kind == "text" and re.match(r"[|!](?!\|)", bare) and "markdown" not in rest:
                 yield "table", _inline(" | ".join(x.strip() for x in re.split(r"\|\||!!", bare[1:])), rest)
                 continue
@@ -413,7 +506,10 @@ def _lines(rows: list[tuple[str, str]], found: set[str]) -> Iterator[tuple[str,
             if re.match(r"[^\n]+$", line) and j + 1 < len(rows) and re.fullmatch(r"={3,}|-{3,}", rows[j + 1][1].strip()) and bare:
                 yield "heading", _inline(bare, rest)
                 continue
-            if re.match(r"\[\^?[^\[\]\n]+\]: ?\S+", bare):
+            if m := re.match(r"\[\^[^\[\]\n]+\]: ?(?=\S)", bare):
+                yield "text", _inline(bare[m.end() :], rest)
+                continue
+            if re.match(r"\[[^\[\]\n]+\]: ?\S+", bare):
                 continue
             if re.fullmatch(r"\|?[ \t]*:?-{3,}:?[ \t]*(\|[ \t]*:?-{3,}:?[ \t]*)*\|?", bare):
                 continue
@@ -453,22 +549,22 @@ def markup_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def clean_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_type: str = "bigint") -> DataFrame:
-    """Every row of docs as (doc_id, text, markups, headings, lists, codes, formulas): text without markup (null stays
-    null), the markups it held, and the numbers of lines of each kind that structure() would give."""
+    """Every row of docs as (doc_id, text, kinds, markups): text without markup (null stays null), the kind of each of its
+    lines (heading, list, code, formula, table or text, as structure() gives them; null for null texts), and the markups
+    it held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 1):
-            texts, marks, counts = [], [], [[], [], [], []]
+            texts, lines, marks = [], [], []
             for t in batch.column(1).to_pylist():
-                kinds = detect(t)
-                blocks = blocks_of(t, kinds) if kinds else None
+                found = detect(t)
+                blocks = blocks_of(t, found) if found else None
                 texts.append(t if blocks is None else "\n".join(x for _, x in blocks))
-                marks.append(kinds)
-                for c, k in zip(counts, ("heading", "list", "code", "formula")):
-                    c.append(sum(b[0] == k for b in blocks) if blocks else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(marks, pa.list_(pa.string())), *[pa.array(c, pa.int32()) for c in counts]], names=["doc_id", "text", "markups", "headings", "lists", "codes", "formulas"])
+                lines.append(None if t is None else ["text"] * (t.count("\n") + 1) if blocks is None else [k for k, x in blocks for _ in range(x.count("\n") + 1)])
+                marks.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.string()))], names=["doc_id", "text", "kinds", "markups"])
 
-    return _read(docs, id_col, text_col, id_type).mapInArrow(run, f"doc_id {id_type}, text string, markups array<string>, headings int, lists int, codes int, formulas int")
+    return _read(docs, id_col, text_col, id_type).mapInArrow(run, f"doc_id {id_type}, text string, kinds array<string>, markups array<string>")
 
 
 def structure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_type: str = "bigint") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .distinctive import distinctive_terms, terms_of_weight
 from .leakage import leaks
 from .linkage import clusters_of, saved_clusters
-from .markup import clean_text, markup_residue
+from .markup import clean_text, markup_residue, structure
 from .mixing import mix_report, mix_selection, piece_sizes, token_sizes
 from .neardup import duplicate_groups, duplicate_pairs
 from .neighbors import nearest, record_pairs, similar_pairs
@@ -41,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": _tables("documents", markup_residue),
         "p3_text": _tables("documents", clean_text),
         "p3_page_text": _tables("page", lambda p: clean_text(p, id_col="id", id_type="string")),
+        "p3_structure": _tables("documents", structure),
         "p4_found": _tables("tf", lambda tf: terms_of_weight(tf, 0.12).select("doc_id", "term")),
         "p4_scores": _tables("tf", lambda tf: distinctive_terms(tf).select("doc_id", "term", "tf", "df", F.round("score", 6).alias("score"))),
         "p5_found": _tables("vectors clusters", saved_clusters),

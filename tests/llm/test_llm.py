@@ -328,12 +328,29 @@ def test_structure_is_kept(spark):
     assert [b for b in markup.blocks_of(wiki) if b[1].strip()] == [("heading", "Head"), ("text", "Some bold text"), ("list", "one"), ("code", "y"), ("formula", "z")]
     df = spark.createDataFrame([(1, "t", html_page, "s", "i", "k", 1), (2, "t", None, "s", "i", "k", 1), (3, "t", "", "s", "i", "k", 1)], DOCS)
     got = {r["doc_id"]: r for r in markup.clean_text(df).collect()}
-    assert got[1]["markups"] == ["html"] and (got[1]["headings"], got[1]["lists"], got[1]["codes"], got[1]["formulas"]) == (1, 2, 1, 1)
-    assert got[2]["text"] is None and got[3]["text"] == "" and got[2]["markups"] == []
+    assert got[1]["markups"] == ["html"] and [(k, x) for k, x in zip(got[1]["kinds"], got[1]["text"].split("\n"), strict=True) if x] == [b for b in markup.blocks_of(html_page) if b[1]]
+    assert got[2]["text"] is None and got[2]["kinds"] is None and got[3]["text"] == "" and got[3]["kinds"] == ["text"] and got[2]["markups"] == []
     assert [tuple(r) for r in markup.markup_residue(df).collect()] == [(1, "html")]
     assert markup.structure(df.limit(0)).count() == 0 and markup.structure(df).where("kind = 'heading'").first()["text"] == "Head"
 
 
+def test_nothing_is_cut_off():
+    cut = "<p>One <b>word</b>.</p><script>var x = 1;\nThe end of the page is here."
+    assert "The end of the page is here." in markup.to_text(cut)
+    assert "after it" in markup.to_text("it ''was'' so<ref>p. 3\n<br>The text after it goes on.")
+    assert "Haus is a town" in markup.to_text("''Old''\n{{lang|de|Haus}} is a town") and "Haus is a" in markup.to_text("''Old''\n{{lang|de|Haus is a town")
+    assert markup.blocks_of("\\emph{a}\n\\begin{equation}x^2\\end{equation} so it is\nand on") == [("text", "a"), ("formula", "x^2"), ("text", "so it is"), ("text", "and on")]
+    assert "The note says so." in markup.to_text("A word[^1] here.\n\n[^1]: The note says so.")
+    deep = "\\emph{" * 9 + "core" + "}" * 9
+    assert markup.to_text(f"It is the {deep} of all of it.") == "It is the core of all of it."
+
+
+def test_regions_of_short_pages():
+    assert markup.to_text('<a href="/x">Only link</a>') == "Only link"
+    for text in ("a <b and c> d", "x<y>z", "if i<n and n>0"):
+        assert markup.detect(text) == []
+
+
 def test_menus_leave_and_content_stays():
     menu = "".join(f'<li><a href="/{i}">Menu entry {i}</a></li>' for i in range(20))
     body = "".join(f"<p>This is sentence number {i} of a long and quiet text about nothing at all, told at length.</p>" for i in range(12))
