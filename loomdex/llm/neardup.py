@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_join, in_slices, narrow, saved
 from .crosspoly import mix64
-from .pairs import bucket_pairs, components
+from .pairs import bucket_pairs, components, record_pairs
 from .words import WordHashes, distinct, shingles, word_hashes
 
 BLOCKS, SPAN = 32, 3
@@ -123,12 +123,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", title_col: str | No
     own = saved(prints.where("n > 0").join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sig"))
     step = 2 * span
     keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * step + 1}, {step})")) for i in range(blocks)])
-    keyed = own.select("id", keys.alias("keys"))
-    rows = keyed.select(F.explode("keys").alias("key"), "id", F.lit(True).alias("own"))
+    rows = own.select(F.explode(keys).alias("key"), "id", F.lit(True).alias("own"))
     m = blocks * span
     most = math.ceil(m * (1 - threshold) + 5 * math.sqrt(m * threshold * (1 - threshold)))
     sig = own.select("id", "sig")
-    candidates = bucket_pairs(rows, keyed, marks=sig, near=near_by_hamming(most))
+    candidates = bucket_pairs(rows, sig, near_by_hamming(most))
     both = candidates.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     near = saved(hamming(both, most))
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
@@ -144,15 +143,7 @@ def duplicate_pairs(docs: DataFrame, **how: object) -> DataFrame:
 
     Only for results whose format asks for record pairs; duplicate_groups() does not expand copies."""
     members, links = near_duplicates(docs, **how)
-    links = saved(links)
-    used = members.join(links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).distinct(), "rep", "left_semi")
-    a = used.select(F.col("rep").alias("a"), F.col("id").alias("i"))
-    b = used.select(F.col("rep").alias("b"), F.col("id").alias("j"))
-    across = links.select("a", "b").join(a, "a").join(b, "b").select("i", "j")
-    copies = members.where("id <> rep")
-    again = copies.unionByName(copies.select(F.col("rep").alias("id"), "rep").distinct())
-    within = again.select("rep", F.col("id").alias("i")).join(again.select("rep", F.col("id").alias("j")), "rep").where("i < j").select("i", "j")
-    return across.unionByName(within).select(F.least("i", "j").alias("doc_a"), F.greatest("i", "j").alias("doc_b"))
+    return record_pairs(members, saved(links))
 
 
 def duplicate_groups(docs: DataFrame, **how: object) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import narrow, saved, wide
 from .crosspoly import Tables, fold, mix64
-from .pairs import bucket_pairs
+from .pairs import bucket_pairs, record_pairs
 
 #: Tables for pairs of cosine 0.9 and more (recall above 0.99 on the test tables), and for the nearest of each query.
 PAIR_TABLES = Tables(tables=32, dim=256, blocks=4, width=64, probes=2)
@@ -90,24 +90,27 @@ def dots(left: tuple, right: tuple, n: int) -> np.ndarray:
     return np.bincount(pair[1:][both], weights=(weight[1:] * weight[:-1])[both], minlength=n)
 
 
+def all_dots(left: tuple, n: int, right: tuple, m: int, columns: int = 4096) -> np.ndarray:
+    """n x m dot products of sparse vectors, each side given as entries (row, term, weight), so many terms at a time."""
+    terms, total = np.intersect1d(left[1], right[1]), np.zeros((n, m))
+    for at in range(0, len(terms), columns):
+        some, dense = terms[at : at + columns], []
+        for rows, (row, term, weight) in zip((n, m), (left, right)):
+            col = np.minimum(np.searchsorted(some, term), len(some) - 1)
+            hit = some[col] == term
+            d = np.zeros((rows, len(some)))
+            d[row[hit], col[hit]] = weight[hit]
+            dense.append(d)
+        total += dense[0] @ dense[1].T
+    return total
+
+
 def near_by_cosine(least: float, columns: int = 4096) -> Callable[[pa.Table, pa.Table], np.ndarray]:
-    """near() for bucket_pairs() over marks(id, terms, weights): exact cosines, so many terms at a time."""
+    """near() for bucket_pairs() over marks(id, terms, weights), by exact cosines."""
 
     def near(left: pa.Table, right: pa.Table) -> np.ndarray:
-        n = left.num_rows, right.num_rows
         sides = [entries_of(t.select(["terms", "weights"]).combine_chunks().to_batches()[0], 0) for t in (left, right)]
-        terms = np.intersect1d(sides[0][1], sides[1][1])
-        total = np.zeros(n)
-        for at in range(0, len(terms), columns):
-            some, dense = terms[at : at + columns], []
-            for rows, (row, term, weight) in zip(n, sides):
-                col = np.minimum(np.searchsorted(some, term), len(some) - 1)
-                hit = some[col] == term
-                m = np.zeros((rows, len(some)))
-                m[row[hit], col[hit]] = weight[hit]
-                dense.append(m)
-            total += dense[0] @ dense[1].T
-        return total >= least - 1e-9
+        return all_dots(sides[0], left.num_rows, sides[1], right.num_rows, columns) >= least - 1e-9
 
     return near
 
@@ -161,58 +164,63 @@ def similar_pairs(entries: DataFrame, threshold: float = 0.9, how: Tables = PAIR
     hashed = saved(hash_rows(single, how))
     rows = hashed.select(F.explode("own").alias("key"), "id", F.lit(True).alias("own"))
     rows = rows.unionByName(hashed.select(F.explode("probes").alias("key"), "id", F.lit(False).alias("own")))
-    candidates = bucket_pairs(rows, hashed.select("id", F.col("own").alias("keys")), marks=single, near=near_by_cosine(threshold))
+    candidates = bucket_pairs(rows, single, near_by_cosine(threshold))
     return members, cosines(candidates, single).where(F.col("cosine") >= threshold)
 
 
-def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Class links and copies as pairs of records (doc_a, doc_b), doc_a < doc_b."""
-    a = members.select(F.col("rep").alias("a"), F.col("id").alias("i"))
-    b = members.select(F.col("rep").alias("b"), F.col("id").alias("j"))
-    across = links.select("a", "b").join(a, "a").join(b, "b").select("i", "j")
-    copies = members.where("id <> rep")
-    full = copies.unionByName(copies.select(F.col("rep").alias("id"), "rep").distinct())
-    within = full.select("rep", F.col("id").alias("i")).join(full.select("rep", F.col("id").alias("j")), "rep").where("i < j").select("i", "j")
-    return across.unionByName(within).select(F.least("i", "j").alias("doc_a"), F.greatest("i", "j").alias("doc_b"))
-
-
-def nearest(entries: DataFrame, k: int = 5, every: int = 100, how: Tables = NEAR_TABLES, block: int = 8192, spare: int = 5, **columns: str) -> DataFrame:
+def nearest(entries: DataFrame, k: int = 5, every: int = 100, how: Tables = NEAR_TABLES, block: int = 8192, spare: int = 5, exact: bool = False, **columns: str) -> DataFrame:
     """The k nearest of every record whose id is divisible by `every`, searched among all records.
 
-    Returns (doc_id, neighbour, cosine, rank).  Queries are taken in blocks of at most `block`, which alone
-    are broadcast; every partition hashes its rows, scores those in a bucket that a query probes by folded
-    vectors, and reranks the k + spare best of each query exactly.  Ties go to the smaller id.
+    Returns (doc_id, neighbour, cosine, rank).  Rows are hashed once.  Queries are taken in blocks of at most `block`,
+    which alone are broadcast; every partition scores its rows that lie in a bucket that a query probes by folded
+    vectors, reranks the k + spare best of each query exactly and gives out k at most.  With `exact`, every row is
+    scored by its cosine with every query instead.  Ties go to the smaller id.
     """
     spark = entries.sparkSession
     vectors = saved(sparse_vectors(entries, **columns))
     queries = saved(vectors.where(F.col("id") % every == 0).select("id", "terms", "weights"))
-    parts = -(-queries.count() // block)
-    found = None
+    rows = vectors.select("id", "terms", "weights") if exact else saved(_with_buckets(vectors, how))
+    parts, found = -(-queries.count() // block), None
     for part in range(max(1, parts)):
         mine = queries if parts <= 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        table = mine.toArrow().combine_chunks()
-        sent = spark.sparkContext.broadcast(_QueryBlock(table, how))
-        some = vectors.select("id", "terms", "weights").mapInArrow(lambda it, sent=sent: sent.value.search(it, k, spare), "doc_id long, neighbour long, cosine double")
+        sent = spark.sparkContext.broadcast(_QueryBlock(mine.toArrow().combine_chunks(), None if exact else how))
+        some = rows.mapInArrow(lambda it, sent=sent: sent.value.search(it, k, spare), "doc_id long, neighbour long, cosine double")
         found = some if found is None else found.unionByName(some)
     order = Window.partitionBy("doc_id").orderBy(F.desc("cosine"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _with_buckets(vectors: DataFrame, how: Tables) -> DataFrame:
+    """(id, terms, weights, own): each row with its bucket in every table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 4096):
+                batch = big.slice(at, 4096)
+                n, entries = batch.num_rows, entries_of(batch)
+                own = np.stack([how.buckets(fold(*entries, n, how.dim, t + 1), t)[0] for t in range(how.tables)], axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * how.tables), pa.array(own.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "terms", "weights", "own"])
+
+    return vectors.select("id", "terms", "weights").mapInArrow(run, "id long, terms array<bigint>, weights array<double>, own array<bigint>")
+
+
 class _QueryBlock:
     """A bounded block of queries: their vectors, folded vectors, and the queries that probe each bucket."""
 
     sketch = 512
 
-    def __init__(self, table: pa.Table, how: Tables):
+    def __init__(self, table: pa.Table, how: Tables | None):
         self.how = how
         batch = table.to_batches()[0] if table.num_rows else None
         self.n = table.num_rows
         if not self.n:
             return
         self.ids = batch.column(0).to_numpy()
-        rows, terms, weights = entries_of(batch)
-        self.terms, self.weights = terms, weights
+        self.rows, self.terms, self.weights = rows, terms, weights = entries_of(batch)
         self.offsets = np.searchsorted(rows, np.arange(self.n + 1))
+        if how is None:
+            return
         self.folded = fold(rows, terms, weights, self.n, self.sketch, 99)
         self.probing: dict[int, np.ndarray] = {}
         for t in range(how.tables):
@@ -226,45 +234,61 @@ class _QueryBlock:
                 self.probing[key] = own
 
     def search(self, batches: Iterator[pa.RecordBatch], k: int, spare: int) -> Iterator[pa.RecordBatch]:
-        keep = k + spare
+        """The k best of each query among the rows of one partition."""
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, id, cosine
         for batch in batches:
             if not (self.n and batch.num_rows):
                 continue
-            n, entries = batch.num_rows, entries_of(batch)
-            ids = batch.column(0).to_numpy()
-            score = np.full((self.n, keep), -2, np.float32)
-            best = np.full((self.n, keep), -1, np.int64)
-            folded = fold(*entries, n, self.sketch, 99)
-            for t in range(self.how.tables):
-                own, _ = self.how.buckets(fold(*entries, n, self.how.dim, t + 1), t)
-                order = np.argsort(own, kind="stable")
-                start = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
-                for rows in np.split(order, start[1:]):
-                    asking = self.probing.get(int(own[rows[0]]))
-                    if asking is None:
-                        continue
-                    step = max(1, 400_000 // len(rows))  # keeps a hot bucket's scores small
-                    for at in range(0, len(asking), step):
-                        q = asking[at : at + step]
-                        sims = self.folded[q] @ folded[rows].T
-                        sims[self.ids[q][:, None] == ids[rows][None, :]] = -2
-                        for j in range(keep):
-                            sims[best[q][:, j : j + 1] == rows[None, :]] = -2
-                        s = np.concatenate((score[q], sims), axis=1)
-                        c = np.concatenate((best[q], np.broadcast_to(rows, sims.shape)), axis=1)
-                        top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                        score[q], best[q] = np.take_along_axis(s, top, axis=1), np.take_along_axis(c, top, axis=1)
-            q, j = np.nonzero(score > 0)
-            if not len(q):
-                continue
-            row, m = best[q, j], len(q)
-            at = np.searchsorted(entries[0], np.arange(n + 1))
-            c = dots(self._gather(q, self.offsets, self.terms, self.weights), self._gather(row, at, entries[1], entries[2]), m)
-            order = np.lexsort((ids[row], -c, q))
-            q, row, c = q[order], row[order], c[order]
-            place = np.arange(m) - np.searchsorted(q, q)
-            good = place < k
-            yield pa.RecordBatch.from_arrays([pa.array(self.ids[q[good]]), pa.array(ids[row[good]]), pa.array(c[good])], names=["doc_id", "neighbour", "cosine"])
+            some = self._exactly(batch, k) if self.how is None else self._probed(batch, k + spare)
+            q, ids, c = (np.concatenate(x) for x in zip(held, some))
+            order = np.lexsort((ids, -c, q))
+            good = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < k]
+            held = [q[good], ids[good], c[good]]
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["doc_id", "neighbour", "cosine"])
+
+    def _exactly(self, batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = []
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            ids = part.column(0).to_numpy()
+            c = all_dots((self.rows, self.terms, self.weights), self.n, entries_of(part), len(ids))
+            c[self.ids[:, None] == ids[None, :]] = -2
+            order = np.lexsort((np.broadcast_to(ids, c.shape), -c), axis=1)[:, :k]
+            q, row = np.repeat(np.arange(self.n), order.shape[1]), order.ravel()
+            good = c[q, row] > -2
+            out.append((q[good], ids[row[good]], c[q, row][good]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _probed(self, batch: pa.RecordBatch, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, entries = batch.num_rows, entries_of(batch)
+        ids = batch.column(0).to_numpy()
+        buckets = batch.column(3).flatten().to_numpy().reshape(n, self.how.tables)
+        score = np.full((self.n, keep), -2, np.float32)
+        best = np.full((self.n, keep), -1, np.int64)
+        folded = fold(*entries, n, self.sketch, 99)
+        for own in buckets.T:
+            order = np.argsort(own, kind="stable")
+            start = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+            for rows in np.split(order, start[1:]):
+                asking = self.probing.get(int(own[rows[0]]))
+                if asking is None:
+                    continue
+                step = max(1, 400_000 // len(rows))  # keeps a hot bucket's scores small
+                for at in range(0, len(asking), step):
+                    q = asking[at : at + step]
+                    sims = self.folded[q] @ folded[rows].T
+                    sims[self.ids[q][:, None] == ids[rows][None, :]] = -2
+                    for j in range(keep):
+                        sims[best[q][:, j : j + 1] == rows[None, :]] = -2
+                    s = np.concatenate((score[q], sims), axis=1)
+                    c = np.concatenate((best[q], np.broadcast_to(rows, sims.shape)), axis=1)
+                    top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+                    score[q], best[q] = np.take_along_axis(s, top, axis=1), np.take_along_axis(c, top, axis=1)
+        q, j = np.nonzero(score > -2)
+        row, at = best[q, j], np.searchsorted(entries[0], np.arange(n + 1))
+        c = dots(self._gather(q, self.offsets, self.terms, self.weights), self._gather(row, at, entries[1], entries[2]), len(q))
+        return q, ids[row], c
 
     @staticmethod
     def _gather(which: np.ndarray, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple:

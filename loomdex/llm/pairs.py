@@ -15,38 +15,37 @@ from .common import drop, saved
 HOT, BLOCK = 64, 256
 
 
-def bucket_pairs(rows: DataFrame, keys_of: DataFrame, hot: int = HOT, levels: int = 2, marks: DataFrame | None = None, near: Callable[[pa.Table, pa.Table], np.ndarray] | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ids that share a key of rows(key, id, own) and of which one owns it.
-
-    Buckets of up to `hot` members are joined with each other.  With marks(id, ...) and near, a larger bucket is paired
-    whole as well, in salted blocks of members against members: near(left, right) says of the blocks' marks which pairs
-    to keep, so that only those leave the task and none is lost.  Without them its members are spread over narrower
-    buckets, keyed by the bucket and one of the member's other keys (keys_of(id, keys)), which finds the pairs that share
-    such a key too.  After `levels` such splits what still is together shares that many independent keys, which only
-    near-copies do; these are joined as they are, split by AQE if skewed.
+def bucket_pairs(rows: DataFrame, marks: DataFrame, near: Callable[[pa.Table, pa.Table], np.ndarray], hot: int = HOT) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ids that share a key of rows(key, id, own) and of which one owns it; of those whose
+    keys all have more than `hot` members, the pairs that near() keeps.
+
+    Buckets of up to `hot` members are joined with each other.  A larger one is paired whole as well, in salted blocks
+    of members against members: near(left, right) says of the blocks' marks(id, ...) which pairs to keep, so that only
+    those leave the task and none is lost.
     """
     many = _shared(rows)
-    if near is not None:
-        pairs = _within(many.where(F.col("n") <= hot))
-        large = many.where(F.col("n") > hot)
-        return (pairs if large.isEmpty() else pairs.unionByName(_by_blocks(large, marks, near))).distinct()
-    many, found = many.withColumn("used", F.array("key")), None
-    while True:
-        last = levels <= 0
-        calm = many if last else many.where(F.col("n") <= hot)
-        pairs = _within(calm)
-        found = pairs if found is None else found.unionByName(pairs)
-        if last or many.where(F.col("n") > hot).isEmpty():
-            return found.distinct()
-        levels -= 1
-        spread = (
-            many.where(F.col("n") > hot)
-            .join(keys_of.select("id", "keys"), "id")
-            .select("id", "own", "key", "used", F.explode("keys").alias("other"))
-            .where(~F.array_contains("used", F.col("other")))
-            .select(F.xxhash64("key", "other").alias("key"), "id", "own", F.concat("used", F.array("other")).alias("used"))
-        )
-        many = _shared(spread)
+    pairs = _within(many.where(F.col("n") <= hot))
+    large = many.where(F.col("n") > hot)
+    return (pairs if large.isEmpty() else pairs.unionByName(_by_blocks(large, marks, near))).distinct()
+
+
+def class_pairs(members: DataFrame, block: int = 4 * BLOCK) -> DataFrame:
+    """Pairs (i, j), i < j, of the ids of a class in members(id, rep).  A class's rows are cut into parts of about `block`,
+    each of which meets the whole class under a key of its own, so that no class is paired in one task."""
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
+    rows = members.select("id", "rep").join(sizes, "rep").withColumn("parts", F.ceil(F.col("n") / block))
+    left = rows.select("rep", F.col("id").alias("i"), F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    right = rows.select("rep", F.col("id").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["rep", "part"]).where("i < j").select("i", "j")
+
+
+def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (a, b) between classes and the pairs within classes of members(id, rep) as pairs of records (doc_a, doc_b),
+    doc_a < doc_b."""
+    a = members.select(F.col("rep").alias("a"), F.col("id").alias("i"))
+    b = members.select(F.col("rep").alias("b"), F.col("id").alias("j"))
+    across = links.select("a", "b").join(a, "a").join(b, "b").select("i", "j")
+    return across.unionByName(class_pairs(members)).select(F.least("i", "j").alias("doc_a"), F.greatest("i", "j").alias("doc_b"))
 
 
 def _by_blocks(many: DataFrame, marks: DataFrame, near: Callable[[pa.Table, pa.Table], np.ndarray], block: int = BLOCK) -> DataFrame:

@@ -77,24 +77,30 @@ def test_duplicates_of_nothing(spark):
     assert neardup.duplicate_pairs(none).count() == 0 and neardup.duplicate_groups(none).count() == 0
 
 
-def test_hot_buckets_lose_no_pair(spark):
-    """A third of all rows share one key; close pairs share further ones."""
-    rng = random.Random(3)
-    keys = {i: [1 if i % 3 == 0 else 1000 + i] + [(i // 2) * 100 + j + 10**6 for j in range(3)] + [rng.randrange(10**9, 10**10) for _ in range(4)] for i in range(900)}
-    rows = spark.createDataFrame([(k, i, True) for i, ks in keys.items() for k in ks], "key long, id long, own boolean")
-    keyed = spark.createDataFrame(list(keys.items()), "id long, keys array<bigint>")
-    got = {tuple(r) for r in pairs.bucket_pairs(rows, keyed, hot=20).collect()}
-    assert {(i, i + 1) for i in range(0, 900, 2)} <= got
-    assert len(got) < 2000  # not all pairs of the hot bucket
+@pytest.mark.parametrize("members", [64, 65, 1000])
+def test_hot_buckets_lose_no_pair(spark, members):
+    """Pairs that share the hot key only, whatever counts as hot; half of the rows do not own it."""
+    rows = spark.createDataFrame([(1, i, i % 2 == 0) for i in range(members)] + [(5000 + i, i, True) for i in range(members)], "key long, id long, own boolean")
+    marks = spark.range(members)
+    every = lambda x, y: np.ones((x.num_rows, y.num_rows), bool)
+    want = members * (members - 1) // 2 - (members // 2) * (members // 2 - 1) // 2
+    for hot in (2, 64, 10**6):
+        got = pairs.bucket_pairs(rows, marks, every, hot=hot)
+        assert got.count() == got.distinct().count() == want
+
+
+def test_classes_are_paired_in_parts(spark):
+    members = spark.createDataFrame([(i, 0) for i in range(300)] + [(1000 + i, 1000 + i // 2 * 2) for i in range(20)], "id long, rep long")
+    got = [tuple(r) for r in pairs.class_pairs(members, block=20).collect()]
+    assert len(got) == len(set(got)) == 300 * 299 // 2 + 10 and all(i < j for i, j in got)
 
 
 def test_hot_buckets_are_paired_whole(spark):
     """Close rows whose only common key is that of a hot bucket, looked up by some and owned by others."""
     rows = spark.createDataFrame([(1, i, i % 5 != 0) for i in range(900)] + [(10_000 + i, i, True) for i in range(900)], "key long, id long, own boolean")
-    keyed = spark.createDataFrame([(i, [1, 10_000 + i]) for i in range(900)], "id long, keys array<bigint>")
     marks = spark.createDataFrame([(i, i // 4) for i in range(900)], "id long, family long")
     near = lambda x, y: x["family"].to_numpy()[:, None] == y["family"].to_numpy()[None, :]
-    got = [tuple(r) for r in pairs.bucket_pairs(rows, keyed, hot=20, marks=marks, near=near).collect()]
+    got = [tuple(r) for r in pairs.bucket_pairs(rows, marks, near, hot=20).collect()]
     want = {(a, b) for a in range(900) for b in range(a + 1, 900) if a // 4 == b // 4 and (a % 5 or b % 5)}
     assert len(got) == len(set(got)) and set(got) == want
 
@@ -165,6 +171,10 @@ def test_similar_pairs_and_nearest(spark, entries):
         best = {ids[j] for j in np.argsort(-np.where(np.arange(len(ids)) == i, -1, c[i]), kind="stable")[:5]}
         hits += len(best & {r["neighbour"] for r in near if r["doc_id"] == d})
     assert hits / (5 * len(asked)) >= 0.9
+    for r in neighbors.nearest(frame(spark, entries), k=5, every=10, exact=True).collect():
+        i = ids.index(r["doc_id"])
+        line = np.where(np.arange(len(ids)) == i, -1, c[i])
+        assert math.isclose(r["cosine"], np.sort(line)[-r["rank"]], abs_tol=1e-9) and math.isclose(r["cosine"], line[ids.index(r["neighbour"])], abs_tol=1e-9)
 
 
 def test_recall_of_nearest_on_the_test_table(spark):
