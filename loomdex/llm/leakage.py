@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import in_slices, narrow, saved
 from .words import WordHashes, shingles, word_hashes
 
-#: Consecutive words that make a leak, words of a shingle, and items of a block.
-RUN, SHINGLE, BLOCK = 12, 3, 20_000
+#: Consecutive words that make a leak, words of a shingle, items and bytes of passages of a block.
+RUN, SHINGLE, BLOCK, BYTES = 12, 3, 20_000, 16 << 20
 
 
 class _Items:
@@ -111,22 +111,24 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, k: int = SHINGLE, b
 
     Returns (doc_id, item_id, longest_run, share): the longest shared run of words, and the share of the
     passage's words that lie in shared runs.  Words are runs of letters and digits, case does not count.
-    Items are taken in blocks of at most `block`, each a pass over the corpus; only a block is broadcast.
+    Items are taken in blocks of at most `block` items and about BYTES of passages, each a pass over the corpus; only a
+    block is broadcast.
     Repeated item rows count once; null texts, passages and ids, and passages shorter than `run`, match
     nothing; a document id that occurs in several rows is reported with its best row.
     """
     spark = docs.sparkSession
     texts = narrow(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string")).where("doc_id is not null and text is not null")
     small = saved(narrow(items, item_id=F.col(f"`{item_col}`").cast("long"), passage=F.col(f"`{passage_col}`").cast("string")).where("item_id is not null and passage is not null").distinct())
-    blocks = max(1, -(-small.count() // block))
+    size = small.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("passage")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // block), -(-size["bytes"] // BYTES))
     found = None
     for j in range(blocks):
         mine = small if blocks == 1 else small.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == j)
-        rows = mine.collect()  # one bounded block
-        it = _Items([r[0] for r in rows], [r[1] for r in rows], run, k)
+        rows = mine.toArrow()  # one bounded block
+        it = _Items(rows["item_id"].to_pylist(), rows["passage"].to_pylist(), run, k)
+        counts = _frequencies(texts, spark.sparkContext.broadcast(it), k).toArrow()  # at most the block's tokens, 16 bytes each
         rarity = np.zeros(len(it.tokens), np.int64)
-        for token, n in _frequencies(texts, spark.sparkContext.broadcast(it), k).collect():  # at most the block's tokens
-            rarity[token] = n
+        rarity[counts["token"].to_numpy()] = counts["n"].to_numpy()
         it.choose(rarity)
         part = _matches(texts, spark.sparkContext.broadcast(it), run, k)
         found = part if found is None else found.unionByName(part)

@@ -60,7 +60,8 @@ def term_frequencies(counts: DataFrame, id_col: str = "doc_id", term_col: str =
     Rows are dealt to partitions by hash bits of the term (the shuffle's files on disk are the spilled
     partitions); partitions above `part_rows` are split by further bits, and what is still above (one hot term)
     by record.  Each partition streams through DuckDB, which aggregates out of core under `memory` with its
-    spill files in the shared folder; partial results of split terms are added up.
+    spill files in the shared folder (where that is no file system, partitions have to fit `memory` and nothing is
+    spilled to an executor's own disk); partial results of split terms are added up.
     """
     spark = counts.sparkSession
     rows = narrow(counts, doc=F.col(f"`{id_col}`").cast("string"), term=F.lower(F.regexp_replace(F.col(f"`{term_col}`").cast("string"), EDGES, "")), tf=F.col(f"`{tf_col}`").cast("long"))
@@ -89,7 +90,7 @@ def term_frequencies(counts: DataFrame, id_col: str = "doc_id", term_col: str =
             yield first
             yield from batches
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False} | ({"temp_directory": f"{spill}/{uuid.uuid4().hex}"} if spill else {}))
+        con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False} | {"temp_directory": f"{spill}/{uuid.uuid4().hex}" if spill else ""})
         reader = pa.RecordBatchReader.from_batches(first.schema, stream())
         con.register("source", reader)
         out = con.sql("select term, sum(tf)::bigint as total, count(*)::bigint as df from (select doc, term, max(tf) as tf from source group by doc, term) group by term").to_arrow_reader(100_000)
