@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +13,7 @@ from .operators import cluster, index, keyed, neighbors, text, tree, vectors
 from .plans.pipeline import build_index
 from .scratch import saved
 from .sources import formats
-from .streaming.index import running_frequencies
+from .streaming.index import running_frequencies, totals_of, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -435,22 +434,24 @@ def dimension_distance(t: Tables) -> DataFrame:
 
 # -- queries --------------------------------------------------------------------------------------------------------
 
-_QV = f"qt AS (SELECT query_id, term, count(*) AS tf FROM (SELECT item_id AS query_id, unnest({W}) AS term FROM benchmark) GROUP BY 1, 2), dtf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), ddf AS (SELECT term, count(*) AS df FROM dtf GROUP BY 1), qv AS (SELECT query_id, term, tf / df AS q FROM qt JOIN ddf USING (term))"
+_QV = f"""bt AS (SELECT item_id AS query_id, unnest({W}) AS term FROM benchmark), bk AS (SELECT * FROM bt WHERE term NOT IN (SELECT term FROM pre)),
+    u AS (SELECT DISTINCT term FROM kept UNION SELECT DISTINCT term FROM bk), st AS (SELECT term, stem FROM ({stem_sql('u')})), qt AS (SELECT query_id, stem AS term, count(*) AS tf FROM bk JOIN st USING (term) GROUP BY 1, 2),
+    dtf AS (SELECT doc_id, stem AS term, count(*) AS tf FROM kept JOIN st USING (term) GROUP BY 1, 2), ddf AS (SELECT term, count(*) AS df FROM dtf GROUP BY 1), qv AS (SELECT query_id, term, tf / df AS q FROM qt JOIN ddf USING (term))"""
 
 
-@query("query_vector", f"WITH {TOK}, {_QV} SELECT query_id, term, round(q, 9) AS weight FROM qv")
+@query("query_vector", f"WITH {KEPT}, {_QV} SELECT query_id, term, round(q, 9) AS weight FROM qv")
 def query_vector(t: Tables) -> DataFrame:
-    df = index.document_frequency(index.term_frequency(text.tokenize_terms(t.documents)))
-    return vectors.query_vector(t.benchmark, df).withColumn("weight", F.round("weight", 9))
+    df = index.document_frequency(text.index_frequencies(t.documents, t.stopword))
+    return vectors.query_vector(t.benchmark, df, t.stopword).withColumn("weight", F.round("weight", 9))
 
 
-@query("score_query", f"""WITH {TOK}, {_QV}, dv AS (SELECT doc_id, term, tf / df AS w FROM dtf JOIN ddf USING (term)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(q * q)) AS m FROM qv GROUP BY 1),
+@query("score_query", f"""WITH {KEPT}, {_QV}, dv AS (SELECT doc_id, term, tf / df AS w FROM dtf JOIN ddf USING (term)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(q * q)) AS m FROM qv GROUP BY 1),
     s AS (SELECT query_id, doc_id, sum(w * q) AS dot FROM dv JOIN qv USING (term) GROUP BY 1, 2), r AS (SELECT query_id, doc_id, round(dot / (n * m), 9) AS score FROM s JOIN dn USING (doc_id) JOIN qn USING (query_id))
     SELECT query_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""")
 def score_query(t: Tables) -> DataFrame:
-    tf = saved(index.term_frequency(text.tokenize_terms(t.documents)))
+    tf = saved(text.index_frequencies(t.documents, t.stopword))
     df = saved(index.document_frequency(tf))
-    return vectors.score_query(vectors.query_vector(t.benchmark, df), index.weights(tf, df)).select("query_id", F.round("score", 6).alias("score"), "rank")
+    return vectors.score_query(vectors.query_vector(t.benchmark, df, t.stopword), index.weights(tf, df)).select("query_id", F.round("score", 6).alias("score"), "rank")
 
 
 # -- markup ---------------------------------------------------------------------------------------------------------
@@ -583,23 +584,47 @@ def parse_number(t: Tables) -> DataFrame:
     return t.page.select("id", strings.to_number("id").alias("number"))
 
 
-@query("string_hash")
+_HASH = "list_reduce(list_prepend(5381::HUGEINT, list_transform(range(1, length(hex(encode(term))) + 1, 2), lambda i: CAST('0x' || substr(hex(encode(term)), i, 2) AS INT)::HUGEINT)), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT)"
+
+
+@query("string_hash", f"SELECT term, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS h FROM (SELECT term, {_HASH} AS h FROM vocab)")
 def string_hash(t: Tables) -> DataFrame:
     return t.vocab.select("term", strings.times33("term").alias("h"))
 
 
+@query("magnitude_distance", f"WITH {D}, f AS (SELECT sqrt_mag AS m FROM d ORDER BY doc_id LIMIT 1) SELECT doc_id, round((sqrt_mag - m) * (sqrt_mag - m), 6) AS distance FROM d, f")
+def magnitude_distance(t: Tables) -> DataFrame:
+    d = saved(docs_of(t))
+    first = d.agg(F.min_by("sqrt_mag", "doc_id").alias("m"))
+    return d.crossJoin(F.broadcast(first)).select("doc_id", F.round(neighbors.squared_difference("sqrt_mag", "m"), 6).alias("distance"))  # one row
+
+
+@query("parse_response", "SELECT event_id, 'HTTP/1.1 200 OK' AS status, CAST(user_id AS VARCHAR) AS who, coalesce(props, '') AS body, length(coalesce(props, '')) AS body_len FROM events WHERE user_id IS NOT NULL")
+def parse_response(t: Tables) -> DataFrame:
+    whole = F.concat(F.lit("HTTP/1.1 200 OK\r\nX-User: "), F.col("user_id").cast("string"), F.lit("\r\nX-Kind: a:b\r\n\r\n"), F.coalesce("props", F.lit("")))
+    rows = t.events.where("user_id is not null").select("event_id", wire.parse_response(whole).alias("r"))
+    return rows.select("event_id", F.trim(F.translate("r.status", "\r", "")).alias("status"), F.col("r.headers")["X-User"].alias("who"), "r.body", "r.body_len")
+
+
+def _stream(t: Tables, name: str) -> DataFrame:
+    """A table as a stream of files; a table is one file or a folder of files, and the stream reads the folder that holds
+    them."""
+    path = t._spark._jvm.org.apache.hadoop.fs.Path(f"{t._dir}/{name}.parquet")
+    folder = path.getFileSystem(t._spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    where, what = (str(path), "*.parquet") if folder else (t._dir, f"{name}.parquet")
+    return t._spark.readStream.schema(getattr(t, name).schema).option("pathGlobFilter", what).parquet(where)
+
+
 @query("streaming_frequencies", f"WITH {TOK} SELECT term, count(*) AS total FROM tok GROUP BY 1")
 def streaming_frequencies(t: Tables) -> DataFrame:
-    """Documents as a stream of files into a running count, read back when the stream has taken all."""
-    path = t._spark._jvm.org.apache.hadoop.fs.Path(f"{t._dir}/documents.parquet")
-    folder = path.getFileSystem(t._spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    # a table is one file or a folder of files; the stream reads the folder that holds them
-    where, what = (str(path), "*.parquet") if folder else (t._dir, "documents.parquet")
-    stream = t._spark.readStream.schema(t.documents.schema).option("pathGlobFilter", what).parquet(where)
-    name = f"loomdex_{uuid.uuid4().hex}"
-    q = running_frequencies(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return t._spark.table(name)
+    """Documents as a stream into running counts, read back when the stream has taken all."""
+    return totals_of(running_frequencies(_stream(t, "documents")))
+
+
+@query("windowed_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def windowed_counts_(t: Tables) -> DataFrame:
+    """Events as a stream into counts per day and type, with a watermark of a day."""
+    return totals_of(windowed_counts(_stream(t, "events"), "ts", "event_type")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 def flagship(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 LETTERS, ALPHANUMERICS = "A-Za-z", "A-Za-z0-9"
 
@@ -74,16 +72,16 @@ def in_class(char: str | Column, klass: str) -> Column:
     return _col(char).rlike(f"^[{klass}]$")
 
 
-@F.pandas_udf(LongType())
-def times33(text: pd.Series) -> pd.Series:
-    """The hash h = 33 h + byte from 5381, in 64 bits, wrapped to a signed number; null for null."""
+def times33(text: str | Column) -> Column:
+    """The hash h = 33 h + byte from 5381, in 64 bits, wrapped to a signed number; null for null.  Two halves of 32 bits
+    carry it, so that no product overflows."""
+    digits, half = F.hex(F.encode(_col(text), "UTF-8")), F.lit(0xFFFFFFFF)
+    digit = lambda i: F.instr(F.lit("123456789ABCDEF"), F.substring(digits, i, F.lit(1)))
+    bytes_ = F.transform(F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(2))).otherwise(F.array().cast("array<int>")), lambda i: digit(i) * 16 + digit(i + 1))
 
-    def one(s: str | None) -> int | None:
-        if s is None:
-            return None
-        h = 5381
-        for b in s.encode():
-            h = (h * 33 + b) & 0xFFFFFFFFFFFFFFFF
-        return h - (1 << 64) if h >> 63 else h
+    def step(h: Column, byte: Column) -> Column:
+        low = h["low"] * 33 + byte
+        return F.struct((h["high"] * 33 + F.shiftright(low, 32)).bitwiseAND(half).alias("high"), low.bitwiseAND(half).alias("low"))
 
-    return text.map(one, na_action="ignore").astype("Int64")
+    start = F.struct(F.lit(0).cast("long").alias("high"), F.lit(5381).cast("long").alias("low"))
+    return F.when(_col(text).isNotNull(), F.aggregate(bytes_, start, step, lambda h: F.shiftleft(h["high"], 32).bitwiseOR(h["low"])))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import bounded_join
+from ..scratch import bounded_join, saved
 from .vectors import top_k
 
 
@@ -156,6 +156,35 @@ def nearest_tree(vectors: DataFrame, assignments: DataFrame, dimensions: DataFra
     return top_k(found, ["query_id"], F.asc("distance"), F.col("doc_id"), k=1).drop("rank")
 
 
+def squared_difference(left: str | Column, right: str | Column) -> Column:
+    """The squared difference of two numbers, an absent one counting as 0: the distance of one dimension, and of
+    magnitudes."""
+    a, b = (F.coalesce((F.col(x) if isinstance(x, str) else x).cast("double"), F.lit(0.0)) for x in (left, right))
+    return (a - b) * (a - b)
+
+
+def insert_points(tree: DataFrame, points: DataFrame, dims: int = 2, vector: str = "v", id_col: str = "id") -> DataFrame:
+    """Inserts points(id, v) one after the other, in order of their ids, into a tree(id, v, node) of median_split()'s numbers
+    (root 1, children 2 n and 2 n + 1): smaller values of a level's dimension (null least) go left, others right, down to
+    a free place.  Returns (id, v, node) of all.
+
+    A round takes all new points one level down and puts the first of each free place there, so there are as many rounds as
+    the tree is deep, not as there are points."""
+    placed = saved(tree.select("id", "v", "node"))
+    at = saved(points.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).withColumn("node", F.lit(1).cast("long")))
+    level = 0
+    while not at.isEmpty():
+        here = bounded_join(at, placed.select("node", F.col("v").alias("pivot"), F.lit(True).alias("taken")), "node", "left")
+        first = here.where("taken is null").groupBy("node").agg(F.min(F.struct("id", "v")).alias("t")).select("t.id", "t.v", "node")
+        placed = saved(placed.unionByName(first))
+        taken = bounded_join(at, placed.select("node", F.col("id").alias("owner"), F.col("v").alias("pivot")), "node").where("id <> owner")
+        mine, its = (F.get(c, F.lit(level % dims)).cast("double") for c in ("v", "pivot"))
+        right = F.coalesce(mine >= its, mine.isNotNull() | its.isNull())
+        at = saved(taken.select("id", "v", (F.col("node") * 2 + right.cast("long")).alias("node")))
+        level += 1
+    return placed
+
+
 def dimension_min(points: DataFrame, dim: int, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """One row (id, value): the point with the least value in a dimension, ties by id."""
     value = F.get(vector, F.lit(dim)).cast("double")

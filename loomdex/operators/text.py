@@ -62,3 +62,16 @@ def stem_terms(tokens: DataFrame) -> DataFrame:
 def index_terms(docs: DataFrame, stopwords: DataFrame, mode: str = "observed", newline_as_space: bool = False) -> DataFrame:
     """The index's pipeline: words, stop filter (before stemming), stems: (doc_id, pos, term)."""
     return stem_terms(drop_stopwords(tokenize_terms(docs, newline_as_space=newline_as_space), stopwords, mode))
+
+
+def stem_frequencies(tf: DataFrame) -> DataFrame:
+    """tf(doc_id, term, tf) with terms replaced by stems, counts of words of one stem added up.  Words are counted before
+    they are stemmed, so each is stemmed once and what is shuffled again is a row per word of a record, not per token."""
+    stems = saved(with_stem(tf.select("term").where("term is not null").distinct()))
+    return bounded_join(tf, stems, "term").groupBy("doc_id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+
+
+def index_frequencies(docs: DataFrame, stopwords: DataFrame, mode: str = "observed", newline_as_space: bool = False) -> DataFrame:
+    """(doc_id, term, tf) of the index: words, counted, stop filter, stems."""
+    words_ = tokenize_terms(docs, newline_as_space=newline_as_space).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return stem_frequencies(drop_stopwords(saved(words_), stopwords, mode))

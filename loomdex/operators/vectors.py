@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import words
 from ..scratch import bounded_join, narrow
+from .text import index_frequencies
 
 
 def dot_products(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -31,10 +31,10 @@ def closest_cluster(sims: DataFrame, docs: DataFrame, first: int = 0) -> DataFra
     return all_.select("doc_id", F.coalesce(-F.col("t.n"), F.lit(first)).alias("cluster_id"), F.coalesce("t.sim", F.lit(0.0)).alias("sim"))
 
 
-def query_vector(queries: DataFrame, vocab: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(query_id, term, weight): words of a query that the vocabulary holds, weight tf / df; the index stays as it is."""
-    rows = narrow(queries, query_id=id_col, w=words(F.col(f"`{text_col}`"))).select("query_id", F.explode("w").alias("term"))
-    tf = rows.groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+def query_vector(queries: DataFrame, vocab: DataFrame, stopwords: DataFrame, mode: str = "observed", id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(query_id, term, weight): stems of a query that the vocabulary holds, through the index's own pipeline (words, stop
+    filter, stems), weight tf / df; the index stays as it is."""
+    tf = index_frequencies(narrow(queries, doc_id=id_col, text=F.col(f"`{text_col}`")), stopwords, mode).withColumnRenamed("doc_id", "query_id")
     return bounded_join(tf, vocab.select("term", "df"), "term").select("query_id", "term", F.try_divide(F.col("tf").cast("double"), F.col("df")).alias("weight"))
 
 

@@ -23,7 +23,7 @@ class Index:
 
 def build_index(documents: DataFrame, stopwords: DataFrame, mode: str = "observed") -> Index:
     """documents(doc_id, text) -> the index; documents without a surviving term are kept with magnitude 0."""
-    tf = saved(index.term_frequency(text.index_terms(documents, stopwords, mode)))
+    tf = saved(text.index_frequencies(documents, stopwords, mode))
     ids = documents.select("doc_id").distinct()
     docs = ids.join(index.magnitudes(tf), "doc_id", "left").fillna(0, ["mag"]).fillna(0.0, ["sqrt_mag"])
     vocab = saved(index.prune_vocab(index.document_frequency(tf), ids.count(), mode))
