@@ -457,9 +457,48 @@ def score_query(t: Tables) -> DataFrame:
 # -- markup ---------------------------------------------------------------------------------------------------------
 
 
-@query("page_nodes")
+# The parser as relations: tokens of a text, depth as a running sum that never falls below the root, the open node as the
+# last one opened at the present depth.
+_TOKEN = r"""(?s)<!--.*?-->|<!--.*|</[^>]*>?|<[^=>]*(?:=(?:[^"'>]|["'][^"']*(?:["']|$))*)?>?|[^<]+""".replace("'", "''")
+_ATTR = r"""=[^"']*["'][^"']*(?:["']|$)|=.*|[^= \t/]+[ \t/]?""".replace("'", "''")
+_PARSE = f"""tk AS (SELECT r, doc_id, tok, i FROM (SELECT r, doc_id, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM
+        (SELECT r, doc_id, regexp_extract_all(replace(text, chr(10), '{{newline}}'), '{_TOKEN}') AS toks FROM src))),
+    kd AS (SELECT *, CASE WHEN starts_with(tok, '<!--') THEN CASE WHEN ends_with(tok, '-->') THEN 'c' ELSE 'x' END WHEN starts_with(tok, '</') THEN 'e' WHEN starts_with(tok, '<') THEN 'o' ELSE 't' END AS kind,
+        regexp_replace(substr(tok, 2), '>$', '') AS inside FROM tk),
+    st AS (SELECT *, kind = 'o' AND ends_with(inside, '/') AS closed, CASE WHEN kind = 'e' THEN -1 WHEN kind = 'o' AND NOT ends_with(inside, '/') THEN 1 ELSE 0 END AS step FROM kd),
+    sm AS (SELECT *, sum(step) OVER (PARTITION BY r ORDER BY i) AS s, sum(CAST(kind = 'o' AS INT)) OVER (PARTITION BY r ORDER BY i) AS node_id FROM st),
+    dp AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY r ORDER BY i)) AS after FROM sm),
+    db AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY r ORDER BY i), 0) AS before FROM dp),
+    ow AS (SELECT * FROM (SELECT *, CASE WHEN before = 0 THEN 0 ELSE max(give) OVER (PARTITION BY r, lvl ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS owner FROM
+        (SELECT *, before AS lvl, NULL AS give FROM db UNION ALL SELECT *, before + 1 AS lvl, node_id AS give FROM db WHERE kind = 'o' AND NOT closed)) WHERE give IS NULL),
+    dt AS (SELECT r, owner AS node_id, string_agg(CASE kind WHEN 't' THEN tok WHEN 'c' THEN '>' ELSE '<' END, '' ORDER BY i) AS data FROM ow WHERE kind IN ('t', 'c') OR (kind = 'o' AND NOT closed) GROUP BY 1, 2),
+    op AS (SELECT r, doc_id, node_id, owner AS parent_id, before + 1 AS depth, split_part(inside, ' ', 1) AS tag, inside FROM ow WHERE kind = 'o'),
+    ak AS (SELECT r, node_id, unnest(a) AS a, unnest(range(len(a))) AS k FROM (SELECT r, node_id, regexp_extract_all(substr(inside, length(tag) + 1), '{_ATTR}') AS a FROM op)),
+    ap AS (SELECT *, lag(a) OVER w AS p, max(CASE WHEN regexp_matches(a, '[ \t/]$') OR (starts_with(a, '=') AND regexp_matches(a, '["'']')) THEN k END) OVER (PARTITION BY r, node_id) AS last FROM ak WINDOW w AS (PARTITION BY r, node_id ORDER BY k)),
+    aa AS (SELECT r, node_id, k, CASE WHEN starts_with(a, '=') THEN CASE WHEN p IS NULL OR regexp_matches(p, '^=|[ \t/]$') THEN '' ELSE p END ELSE rtrim(a, ' \t/') END AS name,
+        CASE WHEN starts_with(a, '=') THEN replace(replace(regexp_extract(a, '["'']([^"'']*)', 1), ' ', ''), chr(9), '') END AS value FROM ap
+        WHERE (starts_with(a, '=') AND regexp_matches(a, '["'']')) OR (NOT starts_with(a, '=') AND regexp_matches(a, '[ \t/]$') AND k < last)),
+    att AS (SELECT r, node_id, list(struct_pack(name := name, value := value) ORDER BY k) AS attrs FROM aa GROUP BY 1, 2),
+    nd AS (SELECT r, doc_id, 0 AS node_id, -1 AS parent_id, 0 AS ord, 0 AS depth, 'root' AS tag, '' AS inside FROM src
+        UNION ALL SELECT r, doc_id, node_id, parent_id, row_number() OVER (PARTITION BY r, parent_id ORDER BY node_id) - 1, depth, tag, inside FROM op),
+    nodes AS (SELECT r, doc_id, CAST(node_id AS INT) AS node_id, CAST(parent_id AS INT) AS parent_id, CAST(ord AS INT) AS ord, CAST(depth AS INT) AS depth, tag, coalesce(data, '') AS data, coalesce(attrs, []) AS attrs
+        FROM nd LEFT JOIN dt USING (r, node_id) LEFT JOIN att USING (r, node_id))"""
+_PAGES = "src AS (SELECT row_number() OVER () AS r, id AS doc_id, text FROM page WHERE text IS NOT NULL)"
+_FETCHED = "src AS (SELECT row_number() OVER () AS r, concat_ws('@', id, strftime(fetched_at, '%Y-%m-%d %H:%M:%S')) AS doc_id, text FROM page WHERE text IS NOT NULL)"
+
+
+def _parsed(select: str, source: str = _PAGES, newline: str = "") -> str:
+    return f"WITH {source}, {_PARSE.replace('{newline}', newline)} {select}"
+
+
+def _page_nodes(t: Tables) -> DataFrame:
+    """Nodes of each fetched page; a page is fetched more than once, so its name holds the time."""
+    return tree.page_nodes(t.page.select(F.concat_ws("@", "id", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss")).alias("id"), "text"))
+
+
+@query("page_nodes", _parsed("SELECT doc_id, node_id, parent_id, ord, depth, tag, data FROM nodes"))
 def page_nodes(t: Tables) -> DataFrame:
-    return tree.page_nodes(t.page)
+    return tree.page_nodes(t.page).drop("attrs")
 
 
 @query("page_text")
@@ -467,19 +506,64 @@ def page_text(t: Tables) -> DataFrame:
     return tree.page_text(t.page)
 
 
-@query("page_text_intended")
+# A piece is followed by the blank after its node if it is the last one before the node's end.
+_BODY = """, cl AS (SELECT r, owner AS node_id, min(i) AS closes FROM ow WHERE kind = 'e' AND owner > 0 GROUP BY 1, 2),
+    pc AS (SELECT ow.r, i, owner, CASE kind WHEN 't' THEN tok ELSE '>' END AS piece FROM ow JOIN nodes n ON n.r = ow.r AND n.node_id = ow.owner WHERE kind IN ('t', 'c') AND n.tag NOT IN ('style', 'a')),
+    nx AS (SELECT *, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM pc),
+    bd AS (SELECT nx.r, string_agg(piece || CASE WHEN owner > 0 AND NOT ends_with(piece, ' ') AND (next IS NULL OR next > closes) THEN ' ' ELSE '' END, '' ORDER BY i) AS body FROM nx LEFT JOIN cl ON cl.r = nx.r AND cl.node_id = nx.owner GROUP BY 1)
+    SELECT doc_id, coalesce(body, '') AS body FROM src LEFT JOIN bd USING (r)"""
+
+
+@query("page_text_intended", _parsed("", newline=" ").rstrip() + _BODY)
 def page_text_intended(t: Tables) -> DataFrame:
     return tree.page_text(t.page, mode="intended", newline=" ")
 
 
-@query("page_attrs")
+@query("page_attrs", _parsed("SELECT doc_id, node_id, tag, a.name AS name, a.value AS value FROM (SELECT doc_id, node_id, tag, unnest(attrs) AS a FROM nodes)"))
 def page_attrs(t: Tables) -> DataFrame:
     return tree.page_nodes(t.page).select("doc_id", "node_id", "tag", F.explode("attrs").alias("a")).select("doc_id", "node_id", "tag", "a.name", "a.value")
 
 
-@query("page_children")
+@query("page_children", _parsed("SELECT doc_id, parent_id AS node_id, list(node_id ORDER BY ord) AS kids FROM nodes WHERE parent_id >= 0 GROUP BY 1, 2", _FETCHED))
 def page_children(t: Tables) -> DataFrame:
-    return tree.children(tree.page_nodes(t.page.select(F.concat_ws("@", "id", "fetched_at").alias("id"), "text")))  # a page is fetched more than once
+    return tree.children(_page_nodes(t))
+
+
+@query("page_last_child", _parsed("SELECT doc_id, parent_id AS node_id, max(node_id) AS last FROM nodes WHERE parent_id >= 0 GROUP BY 1, 2", _FETCHED))
+def page_last_child(t: Tables) -> DataFrame:
+    return tree.last_child(_page_nodes(t))
+
+
+@query("page_first_by_tag", _parsed("SELECT doc_id, arg_min(node_id, struct_pack(p := parent_id, o := ord)) AS node_id FROM nodes WHERE tag = 'p' GROUP BY 1", _FETCHED))
+def page_first_by_tag(t: Tables) -> DataFrame:
+    return tree.first_of_tag(_page_nodes(t), "p")
+
+
+@query("page_all_by_tag", _parsed("SELECT doc_id, list(node_id ORDER BY node_id) AS nodes FROM nodes WHERE tag = 'li' GROUP BY 1", _FETCHED))
+def page_all_by_tag(t: Tables) -> DataFrame:
+    return tree.all_of_tag(_page_nodes(t), "li")
+
+
+@query("page_data_by_tag", _parsed("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY node_id) AS n, data FROM nodes WHERE tag = 'p'", _FETCHED))
+def page_data_by_tag(t: Tables) -> DataFrame:
+    return tree.data_by_tag(_page_nodes(t), "p")
+
+
+_DUMP = "src AS (SELECT row_number() OVER () AS r, '' AS doc_id, '<page><id>' || id || '</id><title>' || title || '</title><text>' || text || '</text></page>' AS text FROM page WHERE id || title || text IS NOT NULL)"
+_FIELD = """, cl AS (SELECT r, owner AS node_id, min(i) AS closes FROM ow WHERE kind = 'e' AND owner > 0 GROUP BY 1, 2),
+    pc AS (SELECT ow.r, i, owner, CASE kind WHEN 't' THEN tok ELSE '>' END AS piece, n.tag FROM ow JOIN nodes n ON n.r = ow.r AND n.node_id = ow.owner WHERE kind IN ('t', 'c')),
+    root AS (SELECT o.r, o.tag AS field, o.node_id, o.i AS opens, coalesce(c.closes, 1000000000) AS ends FROM (SELECT r, node_id, i, split_part(inside, ' ', 1) AS tag FROM ow WHERE kind = 'o' AND owner = 1 AND node_id > 1) o LEFT JOIN cl c USING (r, node_id)
+        QUALIFY row_number() OVER (PARTITION BY o.r, o.tag ORDER BY o.node_id) = 1),
+    nx AS (SELECT root.r, field, root.node_id AS top, pc.i, owner, piece, lead(pc.i) OVER (PARTITION BY root.r, field ORDER BY pc.i) AS next FROM root JOIN pc ON pc.r = root.r AND pc.i > opens AND pc.i < ends WHERE field <> 'text' OR tag NOT IN ('style', 'a')),
+    bd AS (SELECT nx.r, field, string_agg(piece || CASE WHEN owner <> top AND NOT ends_with(piece, ' ') AND (next IS NULL OR next > closes) THEN ' ' ELSE '' END, '' ORDER BY i) AS body FROM nx LEFT JOIN cl ON cl.r = nx.r AND cl.node_id = nx.owner GROUP BY 1, 2)
+    SELECT max(CASE WHEN field = 'id' THEN coalesce(body, '') END) AS id, max(CASE WHEN field = 'title' THEN coalesce(body, '') END) AS title, max(CASE WHEN field = 'text' THEN coalesce(body, '') END) AS text FROM root LEFT JOIN bd USING (r, field) WHERE field IN ('id', 'title', 'text') GROUP BY root.r"""
+
+
+@query("page_fields", _parsed("", _DUMP).rstrip() + _FIELD)
+def page_fields(t: Tables) -> DataFrame:
+    """The page table written as a dump, one page a row, and read back."""
+    dump = F.concat(F.lit("<page><id>"), "id", F.lit("</id><title>"), "title", F.lit("</title><text>"), "text", F.lit("</text></page>"))
+    return tree.page_fields(t.page.select(dump.alias("value")), mode="intended")
 
 
 @query("page_title", f"SELECT id, {_TITLE} AS title FROM page WHERE title IS NOT NULL")

@@ -213,6 +213,17 @@ def last_child(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id >= 0").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.max_by("node_id", "ord").alias("last"))
 
 
+def first_of_tag(nodes: DataFrame, tag: str) -> DataFrame:
+    """(doc_id, node_id): first_by_tag() of every document that has the tag: the parent that comes first decides, then the
+    place among its children."""
+    return nodes.where((F.col("tag") == tag) & (F.col("parent_id") >= 0)).groupBy("doc_id").agg(F.min_by("node_id", F.struct("parent_id", "ord")).alias("node_id"))
+
+
+def all_of_tag(nodes: DataFrame, tag: str) -> DataFrame:
+    """(doc_id, nodes): all nodes of a tag in document order, of every document that has any."""
+    return nodes.where((F.col("tag") == tag) & (F.col("parent_id") >= 0)).groupBy("doc_id").agg(F.sort_array(F.collect_list("node_id")).alias("nodes"))
+
+
 def data_by_tag(nodes: DataFrame, tag: str) -> DataFrame:
     """(doc_id, n, data): own text of every node of a tag in document order, start node included."""
     w = Window.partitionBy("doc_id").orderBy("node_id")
