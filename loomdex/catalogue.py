@@ -343,7 +343,7 @@ def member_titles(t: Tables) -> DataFrame:
 @query("kmeans_cosine")
 def kmeans_cosine(t: Tables) -> DataFrame:
     v, d = saved(index.tidy_vectors(t.vectors)), saved(docs_of(t))
-    return cluster.kmeans_cosine(v, d, k=16, rounds=4)[0]
+    return cluster.kmeans_cosine(v, d)[0]
 
 
 _ROUND = """WITH {V}, {D}, seed AS (SELECT cluster_id, min(doc_id) AS doc_id FROM (SELECT cluster_id, unnest(doc_ids) AS doc_id FROM clusters) JOIN (SELECT DISTINCT doc_id FROM v JOIN d USING (doc_id)) USING (doc_id) GROUP BY 1),

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import bounded_join, drop, saved
-from .vectors import closest_cluster, cosine_to_centroids
+from .vectors import Centroids, as_rows, closest_cluster, cosine_to_centroids
+
+#: Entries (cluster, term, mean) of all means that are broadcast.
+MEAN_ENTRIES = 1_000_000
 
 
 def member_rows(clusters: DataFrame) -> DataFrame:
@@ -71,47 +78,166 @@ def _fresh_or_old(members: DataFrame, vectors: DataFrame, means: DataFrame, fill
     return fresh.unionByName(means.where(~F.col("cluster_id").isin(list(filled))))
 
 
-def kmeans_cosine(vectors: DataFrame, docs: DataFrame, k: int, seed: int = 1, threshold: float = 0.002, rounds: int = 10, seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def kmeans_cosine(vectors: DataFrame, docs: DataFrame, k: int = 48, seed: int = 1, threshold: float = 1e-9, rounds: int = 500, seeds: DataFrame | None = None, most: int = MEAN_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """Returns (assignments(doc_id, cluster_id, sim), centroids(cluster_id, term, mean)).
 
     docs(doc_id, sqrt_mag); k seed documents are drawn by hash of id and seed (or given as seeds(cluster_id, doc_id)),
     and a cluster's magnitude stays its seed's.  Each round assigns all documents, recomputes means, gives empty
-    clusters the best candidates of the others (a donor's count stays, as observed), and ends when no shift changes by
-    more than `threshold` or after `rounds`.  State is written to the shared folder
-    each round; the driver sees k numbers.
+    clusters the best candidates of the others (a donor's count stays, as observed; its shift is then the one against
+    the round's own mean, which is computed anew without the document), and ends when no shift changes by more than
+    `threshold`.  Raises if that takes more than `rounds`.
+
+    While k times the vocabulary is at most `most` entries, the driver holds the means, which each round sends out and
+    gets back added up by cluster and term: a round is one pass over the documents.  Beyond, documents and means are
+    joined by shuffle, and state is written to the shared folder.
     """
     have = docs.join(vectors.select("doc_id").distinct(), "doc_id", "left_semi")
     if seeds is None:
         drawn = have.select("doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(k)
         seeds = drawn.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")) - 1)  # k rows
-    seeds = saved(seeds.select("cluster_id", "doc_id"))
+    seeds = saved(seeds.select(F.col("cluster_id").cast("long").alias("cluster_id"), "doc_id"))
+    terms = vectors.select("term").distinct().limit(most + 1).count()
+    loop = _rounds_by_broadcast if terms * seeds.count() <= most else _rounds_by_joins
+    return loop(vectors, docs, have, seeds, threshold, rounds)
+
+
+def _settled(now: dict[int, float], before: dict[int, float], threshold: float) -> bool:
+    return all(abs(now[c] - before[c]) <= threshold for c in before)
+
+
+def _rounds_by_broadcast(vectors: DataFrame, docs: DataFrame, have: DataFrame, seeds: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    rows = saved(as_rows(vectors, have))
+    mags = {r[0]: r[1] for r in seeds.join(docs, "doc_id").select("cluster_id", "sqrt_mag").collect()}  # k numbers
+    ids = np.array(sorted(mags), np.int64)
+    first = saved(bounded_join(vectors, seeds, "doc_id").select("cluster_id", F.xxhash64("term").alias("t"), "weight")).toArrow()
+    means = {(c, t): w for c, t, w in zip(*(first[x].to_pylist() for x in ("cluster_id", "t", "weight")))}
+    send = rows.sparkSession.sparkContext.broadcast
+
+    def centroids(of: dict) -> Centroids:
+        keys = np.array(list(of), np.int64).reshape(-1, 2)
+        return Centroids(keys[:, 0], keys[:, 1], np.array(list(of.values()), float), mags)
+
+    def summed(sent: object) -> pa.Table:
+        """(cluster_id, t, total): sums of the documents' weights by cluster and term; a null term counts documents."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for big in batches:
+                for at in range(0, big.num_rows, 2048):
+                    batch = big.slice(at, 2048)
+                    near, _ = sent.value.closest(batch)
+                    each = np.repeat(near, np.diff(batch.column(2).offsets.to_numpy()))
+                    some = pa.table({"cluster_id": each, "t": batch.column(2).flatten(), "total": batch.column(3).flatten()}).group_by(["cluster_id", "t"]).aggregate([("total", "sum")])
+                    found, n = np.unique(near, return_counts=True)
+                    counts = pa.table({"cluster_id": pa.array(found), "t": pa.nulls(len(found), pa.int64()), "total_sum": pa.array(n.astype(float))})
+                    yield from pa.concat_tables([some.select(["cluster_id", "t", "total_sum"]), counts]).rename_columns(["cluster_id", "t", "total"]).to_batches()
+
+        return rows.mapInArrow(run, "cluster_id long, t long, total double").groupBy("cluster_id", "t").agg(F.sum("total").alias("total")).toArrow()
+
+    def candidates(old: object, new: object) -> list[tuple]:
+        """Of each cluster the document most like the new mean: (cluster, likeness, doc_id, terms, weights), best of each part."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                near, _ = old.value.closest(batch)
+                sims = new.value.sims(batch)[np.arange(batch.num_rows), np.searchsorted(ids, near)]
+                for c, s, i, row in zip(near.tolist(), sims.tolist(), batch.column(0).to_pylist(), range(batch.num_rows)):
+                    if s > 0 and (c not in best or (-s, i) < best[c][:2]):
+                        best[c] = (-s, i, batch.column(2)[row].as_py(), batch.column(3)[row].as_py())
+            if best:
+                cols = list(zip(*((c, -s, i, t, w) for c, (s, i, t, w) in best.items())))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.float64()))], names=["c", "s", "doc_id", "t", "w"])
+
+        some = rows.mapInArrow(run, "c long, s double, doc_id string, t array<long>, w array<double>")
+        best = some.groupBy("c").agg(F.min_by(F.struct("s", "doc_id", "t", "w"), F.struct(-F.col("s"), "doc_id")).alias("x"))
+        return [tuple(r) for r in best.select("c", "x.*").collect()]  # at most k rows
+
+    def shift(a: dict, b: dict) -> dict[int, float]:
+        out = dict.fromkeys(mags, 0.0)
+        for key in a.keys() | b.keys():
+            out[key[0]] += (b.get(key, 0.0) - a.get(key, 0.0)) ** 2
+        return out
+
+    before = dict.fromkeys(mags, 0.0)
+    for _ in range(rounds):
+        sent = send(centroids(means))
+        sums = summed(sent)
+        n, total = {}, {}
+        for c, t, x in zip(*(sums[j].to_pylist() for j in ("cluster_id", "t", "total"))):
+            if t is None:
+                n[c] = x
+            else:
+                total[c, t] = x
+        new = {key: x / n[key[0]] for key, x in total.items()} | {key: x for key, x in means.items() if key[0] not in n}
+        moved, given = shift(means, new), {}
+        empty = [c for c in ids.tolist() if c not in n]
+        if empty and n:
+            found = sorted(candidates(sent, send(centroids(new))), key=lambda x: (-x[1], x[0]))
+            fixed = dict(new)
+            for c, (donor, _, doc, terms, weights) in zip(empty, found):
+                given[doc] = c
+                fixed = {key: x for key, x in fixed.items() if key[0] != c} | {(c, t): w for t, w in zip(terms, weights)}
+                for t, w in zip(terms, weights):
+                    fixed[donor, t] -= w / n[donor]
+                    if abs(fixed[donor, t]) < 1e-15:
+                        del fixed[donor, t]
+                moved |= {donor: sum((fixed.get((donor, t), 0.0) - new[donor, t]) ** 2 for t in terms)}
+                moved[c] = sum((fixed.get((c, t), 0.0) - means.get((c, t), 0.0)) ** 2 for t in {t for x, t in means if x == c} | set(terms))
+            new = fixed
+        last, means = sent, new
+        if _settled(moved, before, threshold):
+            break
+        before = moved
+    else:
+        raise RuntimeError(f"kmeans_cosine: not settled after {rounds} rounds")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 2048):
+                batch = big.slice(at, 2048)
+                near, sim = last.value.closest(batch)
+                to = [given.get(i, c) for i, c in zip(batch.column(0).to_pylist(), near.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to, pa.int64()), pa.array(sim)], names=["doc_id", "cluster_id", "sim"])
+
+    names = vectors.select("term").distinct().select("term", F.xxhash64("term").alias("t"))
+    keys = list(means)
+    table = rows.sparkSession.createDataFrame(pa.table({"cluster_id": pa.array([c for c, _ in keys], pa.int64()), "t": pa.array([t for _, t in keys], pa.int64()), "mean": pa.array([means[x] for x in keys], pa.float64())}))
+    return rows.mapInArrow(assign, "doc_id string, cluster_id bigint, sim double"), saved(table.join(names, "t").select("cluster_id", "term", "mean"))
+
+
+def _rounds_by_joins(vectors: DataFrame, docs: DataFrame, have: DataFrame, seeds: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
     clusters = saved(seeds.join(docs, "doc_id").select("cluster_id", "sqrt_mag"))
     means = saved(bounded_join(vectors, seeds, "doc_id").select("cluster_id", "term", F.col("weight").alias("mean")))
     seen = [r[0] for r in clusters.select("cluster_id").collect()]  # k numbers
-    shifts, assigned = dict.fromkeys(seen, 0.0), None
+    shifts = dict.fromkeys(seen, 0.0)
     for _ in range(rounds):
-        old = [x for x in (means, assigned) if x is not None]
         now = saved(closest_cluster(cosine_to_centroids(vectors, docs, means, clusters), have))
+        old = [means]
         sizes = now.groupBy("cluster_id").agg(F.count("*").alias("n"))
         filled = {r[0] for r in sizes.select("cluster_id").collect()}  # at most k numbers
-        members = now.join(F.broadcast(sizes), "cluster_id")  # at most k rows
-        new = saved(_fresh_or_old(members, vectors, means, filled))
+        new = saved(_fresh_or_old(now.join(F.broadcast(sizes), "cluster_id"), vectors, means, filled))  # at most k rows
+        moved_by = {r["cluster_id"]: r["shift"] for r in mean_shift(means, new).collect()}  # k numbers
         if filled < set(seen):
-            old += [now, new]
             sims = cosine_to_centroids(vectors, docs, new, clusters).join(now.select("doc_id", "cluster_id"), ["doc_id", "cluster_id"])
             moves = saved(repair_empty(extreme_members(sims), clusters.where(~F.col("cluster_id").isin(list(filled)))))
-            old.append(moves)
             # a donor's count stays as it was
             counted = sizes.unionByName(moves.select("cluster_id", F.lit(1).cast("long").alias("n")))
             moved = now.join(F.broadcast(moves.select("doc_id", F.col("cluster_id").alias("to"))), "doc_id", "left")  # at most k rows
-            now = saved(moved.select("doc_id", F.coalesce("to", "cluster_id").alias("cluster_id"), "sim"))
-            filled |= {r[0] for r in moves.select("cluster_id").collect()}
-            new = saved(_fresh_or_old(now.join(F.broadcast(counted), "cluster_id"), vectors, means, filled))
-        moved_by = {r["cluster_id"]: r["shift"] for r in mean_shift(means, new).collect()}  # k numbers
-        goes_on = any(abs(moved_by.get(c, 0.0) - shifts[c]) > threshold for c in seen)
+            after = saved(moved.select("doc_id", F.coalesce("to", "cluster_id").alias("cluster_id"), "sim"))
+            given = moves.select("donor", "cluster_id").collect()  # at most k rows
+            filled |= {r["cluster_id"] for r in given}
+            repaired = saved(_fresh_or_old(after.join(F.broadcast(counted), "cluster_id"), vectors, means, filled))
+            of_round, of_old = ({r["cluster_id"]: r["shift"] for r in mean_shift(x, repaired).collect()} for x in (new, means))
+            moved_by |= {r["donor"]: of_round.get(r["donor"], 0.0) for r in given} | {r["cluster_id"]: of_old.get(r["cluster_id"], 0.0) for r in given}
+            old += [now, new, moves]
+            now, new = after, repaired
+        moved_by = {c: moved_by.get(c, 0.0) for c in seen}
         for x in old:
             drop(x)
-        means, assigned, shifts = new, now, {c: moved_by.get(c, 0.0) for c in seen}
-        if not goes_on:
-            break
-    return assigned, means
+        if _settled(moved_by, shifts, threshold):
+            return now, new
+        means, shifts = new, moved_by
+        drop(now)
+    raise RuntimeError(f"kmeans_cosine: not settled after {rounds} rounds")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +35,43 @@ def closest_cluster(sims: DataFrame, docs: DataFrame, first: int = 0) -> DataFra
     return all_.select("doc_id", F.coalesce(-F.col("t.n"), F.lit(first)).alias("cluster_id"), F.coalesce("t.sim", F.lit(0.0)).alias("sim"))
 
 
+def as_rows(vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, mag, terms array<bigint>, weights array<double>): a row per document with terms as hashes and its
+    magnitude; documents without an entry or magnitude are absent.  A row is as long as its document has terms."""
+    entry = F.struct(F.xxhash64("term").alias("t"), F.col("weight").alias("w"))
+    rows = vectors.groupBy("doc_id").agg(F.collect_list(entry).alias("e"))
+    rows = rows.join(docs.where("sqrt_mag is not null").select("doc_id", F.col("sqrt_mag").alias("mag")), "doc_id")
+    return rows.select("doc_id", "mag", F.col("e.t").alias("terms"), F.col("e.w").alias("weights"))
+
+
+class Centroids:
+    """Means of a bounded number of clusters as entries ordered by term, for dot products with batches of as_rows()."""
+
+    def __init__(self, cluster: np.ndarray, term: np.ndarray, mean: np.ndarray, mags: dict[int, float]):
+        self.ids = np.array(sorted(mags), np.int64)
+        self.mags = np.array([mags[c] or np.inf for c in self.ids.tolist()], float)  # a magnitude of 0 gives likeness 0
+        order = np.lexsort((cluster, term))
+        self.col, self.term, self.mean = np.searchsorted(self.ids, cluster)[order], term[order], mean[order]
+
+    def sims(self, batch: pa.RecordBatch) -> np.ndarray:
+        n, terms = batch.num_rows, batch.column(2).flatten().to_numpy()
+        row = np.repeat(np.arange(n), np.diff(batch.column(2).offsets.to_numpy()))
+        low, high = np.searchsorted(self.term, terms, "left"), np.searchsorted(self.term, terms, "right")
+        hits = high - low
+        e = np.repeat(low - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
+        products = np.repeat(batch.column(3).flatten().to_numpy(), hits) * self.mean[e]
+        dots = np.bincount(np.repeat(row, hits) * len(self.ids) + self.col[e], weights=products, minlength=n * len(self.ids)).reshape(n, len(self.ids))
+        mag = batch.column(1).to_numpy()
+        return dots / (np.where(mag == 0, np.inf, mag)[:, None] * self.mags)
+
+    def closest(self, batch: pa.RecordBatch, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Cluster and likeness of each row, as closest_cluster() has it."""
+        sims = self.sims(batch)
+        best = sims.argmax(axis=1)
+        top = sims[np.arange(len(best)), best]
+        return np.where(top > 0, self.ids[best], first), np.maximum(top, 0.0)
+
+
 def query_vector(queries: DataFrame, vocab: DataFrame, stopwords: DataFrame, mode: str = "observed", id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query_id, term, weight): stems of a query that the vocabulary holds, through the index's own pipeline (words, stop
     filter, stems), weight tf / df; the index stays as it is."""

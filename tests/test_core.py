@@ -153,8 +153,14 @@ def test_kmeans_covers_each_document_once(spark):
     v = index.tidy_vectors(spark.createDataFrame(rows, "doc_id string, term string, weight double"))
     d = v.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("sqrt_mag"))
     seeds = spark.createDataFrame([(0, "0"), (1, "1"), (2, "2"), (3, "0")], "cluster_id int, doc_id string")
-    a, c = cluster.kmeans_cosine(v, d, 4, seeds=seeds, rounds=4)
+    a, c = cluster.kmeans_cosine(v, d, seeds=seeds, threshold=2.0)
     got = a.collect()
+    # with means joined by shuffle instead of sent out, the same
+    b, e = cluster.kmeans_cosine(v, d, seeds=seeds, threshold=2.0, most=1)
+    assert {r["doc_id"]: (r["cluster_id"], round(r["sim"], 9)) for r in got} == {r["doc_id"]: (r["cluster_id"], round(r["sim"], 9)) for r in b.collect()}
+    assert {(r["cluster_id"], r["term"]): round(r["mean"], 9) for r in c.collect() if r["mean"] > 1e-12} == {(r["cluster_id"], r["term"]): round(r["mean"], 9) for r in e.collect() if r["mean"] > 1e-12}
+    with pytest.raises(RuntimeError, match="not settled"):
+        cluster.kmeans_cosine(v, d, seeds=seeds, rounds=1)
     assert len(got) == len({r["doc_id"] for r in got}) == 60
     assert {r["cluster_id"] for r in got} == {0, 1, 2, 3}  # the twin seed starts empty and is repaired
     assert a.where("cluster_id < 3").select(F.expr("cast(doc_id as int) % 3 as g"), "cluster_id").distinct().count() == 3
