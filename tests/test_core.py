@@ -231,3 +231,48 @@ def test_stream_windows(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp_ntz, k string").parquet(source)
     write_table(windowed_counts(stream, "ts", "k"), out, str(tmp_path / "state")).awaitTermination()
     assert [(r["k"], r["n"]) for r in spark.read.parquet(out).collect()] == [("a", 1)]
+
+
+def insert_by_hand(tree_nodes, points, dims):
+    """One point after the other, from the root down to a free place."""
+    at = {n: v for _, v, n in tree_nodes}
+    out = {i: n for i, _, n in tree_nodes}
+    for i, v in sorted(points):
+        node, level = 1, 0
+        while node in at:
+            mine, its = v[level % dims], at[node][level % dims]
+            right = its is None or (mine is not None and mine >= its)
+            node, level = node * 2 + right, level + 1
+        at[node], out[i] = v, node
+    return out
+
+
+def test_insertion_into_a_tree(spark):
+    rng = random.Random(6)
+    points = [(i, [rng.choice([None, rng.randint(0, 9) * 1.0]), rng.randint(0, 9) * 1.0]) for i in range(60)]
+    df = spark.createDataFrame(points, "id long, v array<double>")
+    split = neighbors.median_split(df.where("id < 3").withColumnRenamed("id", "vec_id").withColumnRenamed("v", "embedding"), depth=2).collect()
+    built = [(r["id"], dict(points)[r["id"]], r["node"]) for r in split]
+    got = {r["id"]: r["node"] for r in neighbors.insert_points(spark.createDataFrame(built, "id long, v array<double>, node long"), df.where("id >= 3")).collect()}
+    assert got == insert_by_hand(built, points[3:], 2) and len(set(got.values())) == 60
+    alone = neighbors.insert_points(spark.createDataFrame([], "id long, v array<double>, node long"), df.limit(1)).collect()
+    assert [r["node"] for r in alone] == [1] and neighbors.insert_points(spark.createDataFrame(built, "id long, v array<double>, node long"), df.limit(0)).count() == 3
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from loomdex import scratch
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="share"):
+        scratch.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_broadcast_side_is_bounded_by_bytes(spark):
+    from loomdex.scratch import bounded_join
+
+    big, small = spark.range(100).withColumnRenamed("id", "k"), spark.range(50).selectExpr("id as k", "repeat('x', 1000) as t")
+    for size, hint in ((10**6, True), (1000, False)):
+        out = bounded_join(big, small, "k", size=size)
+        assert out.count() == 50 and ("ResolvedHint" in out._jdf.queryExecution().analyzed().toString()) == hint
