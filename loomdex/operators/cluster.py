@@ -107,15 +107,20 @@ def _settled(now: dict[int, float], before: dict[int, float], threshold: float)
 
 def _rounds_by_broadcast(vectors: DataFrame, docs: DataFrame, have: DataFrame, seeds: DataFrame, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
     rows = saved(as_rows(vectors, have))
-    mags = {r[0]: r[1] for r in seeds.join(docs, "doc_id").select("cluster_id", "sqrt_mag").collect()}  # k numbers
-    ids = np.array(sorted(mags), np.int64)
+    kept = sorted(tuple(r) for r in seeds.join(docs, "doc_id").select("cluster_id", "sqrt_mag").collect())  # k numbers
+    ids, mags = np.array([r[0] for r in kept], np.int64), np.array([r[1] for r in kept], float)
+    names = saved(vectors.select("term").distinct().select("term", F.xxhash64("term").alias("t")))
+    terms = np.sort(names.select("t").toArrow()["t"].to_numpy())
+    means = np.zeros((len(ids), len(terms)))
+
+    def place(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(ids, table["cluster_id"].to_numpy()), np.searchsorted(terms, table["t"].to_numpy())
+
     first = saved(bounded_join(vectors, seeds, "doc_id").select("cluster_id", F.xxhash64("term").alias("t"), "weight")).toArrow()
-    means = {(c, t): w for c, t, w in zip(*(first[x].to_pylist() for x in ("cluster_id", "t", "weight")))}
-    send = rows.sparkSession.sparkContext.broadcast
+    means[place(first)] = first["weight"].to_numpy()
 
-    def centroids(of: dict) -> Centroids:
-        keys = np.array(list(of), np.int64).reshape(-1, 2)
-        return Centroids(keys[:, 0], keys[:, 1], np.array(list(of.values()), float), mags)
+    def send(of: np.ndarray) -> object:
+        return rows.sparkSession.sparkContext.broadcast(Centroids(ids, terms, of, mags))
 
     def summed(sent: object) -> pa.Table:
         """(cluster_id, t, total): sums of the documents' weights by cluster and term; a null term counts documents."""
@@ -154,42 +159,33 @@ def _rounds_by_broadcast(vectors: DataFrame, docs: DataFrame, have: DataFrame, s
         best = some.groupBy("c").agg(F.min_by(F.struct("s", "doc_id", "t", "w"), F.struct(-F.col("s"), "doc_id")).alias("x"))
         return [tuple(r) for r in best.select("c", "x.*").collect()]  # at most k rows
 
-    def shift(a: dict, b: dict) -> dict[int, float]:
-        out = dict.fromkeys(mags, 0.0)
-        for key in a.keys() | b.keys():
-            out[key[0]] += (b.get(key, 0.0) - a.get(key, 0.0)) ** 2
-        return out
-
-    before = dict.fromkeys(mags, 0.0)
+    before = dict.fromkeys(ids.tolist(), 0.0)
     for _ in range(rounds):
-        sent = send(centroids(means))
+        sent = send(means)
         sums = summed(sent)
-        n, total = {}, {}
-        for c, t, x in zip(*(sums[j].to_pylist() for j in ("cluster_id", "t", "total"))):
-            if t is None:
-                n[c] = x
-            else:
-                total[c, t] = x
-        new = {key: x / n[key[0]] for key, x in total.items()} | {key: x for key, x in means.items() if key[0] not in n}
-        moved, given = shift(means, new), {}
-        empty = [c for c in ids.tolist() if c not in n]
-        if empty and n:
-            found = sorted(candidates(sent, send(centroids(new))), key=lambda x: (-x[1], x[0]))
-            fixed = dict(new)
-            for c, (donor, _, doc, terms, weights) in zip(empty, found):
-                given[doc] = c
-                fixed = {key: x for key, x in fixed.items() if key[0] != c} | {(c, t): w for t, w in zip(terms, weights)}
-                for t, w in zip(terms, weights):
-                    fixed[donor, t] -= w / n[donor]
-                    if abs(fixed[donor, t]) < 1e-15:
-                        del fixed[donor, t]
-                moved |= {donor: sum((fixed.get((donor, t), 0.0) - new[donor, t]) ** 2 for t in terms)}
-                moved[c] = sum((fixed.get((c, t), 0.0) - means.get((c, t), 0.0)) ** 2 for t in {t for x, t in means if x == c} | set(terms))
+        counts, sums = sums.filter(sums["t"].is_null()), sums.filter(sums["t"].is_valid())
+        n, total = np.zeros(len(ids)), np.zeros_like(means)
+        n[np.searchsorted(ids, counts["cluster_id"].to_numpy())] = counts["total"].to_numpy()
+        total[place(sums)] = sums["total"].to_numpy()
+        new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], means)
+        moved, given = ((new - means) ** 2).sum(axis=1), {}
+        empty = np.flatnonzero(n == 0)
+        if len(empty) and n.any():
+            found = sorted(candidates(sent, send(new)), key=lambda x: (-x[1], x[0]))
+            fixed = new.copy()
+            for c, (donor, _, doc, t, weights) in zip(empty.tolist(), found):
+                given[doc] = int(ids[c])
+                d, at = int(np.searchsorted(ids, donor)), np.searchsorted(terms, t)
+                fixed[c] = 0
+                fixed[c, at] = weights
+                fixed[d, at] -= np.array(weights) / n[d]
+                moved[d], moved[c] = ((fixed[d] - new[d]) ** 2).sum(), ((fixed[c] - means[c]) ** 2).sum()
             new = fixed
         last, means = sent, new
-        if _settled(moved, before, threshold):
+        now = dict(zip(ids.tolist(), moved.tolist()))
+        if _settled(now, before, threshold):
             break
-        before = moved
+        before = now
     else:
         raise RuntimeError(f"kmeans_cosine: not settled after {rounds} rounds")
 
@@ -201,9 +197,8 @@ def _rounds_by_broadcast(vectors: DataFrame, docs: DataFrame, have: DataFrame, s
                 to = [given.get(i, c) for i, c in zip(batch.column(0).to_pylist(), near.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to, pa.int64()), pa.array(sim)], names=["doc_id", "cluster_id", "sim"])
 
-    names = vectors.select("term").distinct().select("term", F.xxhash64("term").alias("t"))
-    keys = list(means)
-    table = rows.sparkSession.createDataFrame(pa.table({"cluster_id": pa.array([c for c, _ in keys], pa.int64()), "t": pa.array([t for _, t in keys], pa.int64()), "mean": pa.array([means[x] for x in keys], pa.float64())}))
+    c, t = np.nonzero(np.abs(means) > 1e-15)
+    table = rows.sparkSession.createDataFrame(pa.table({"cluster_id": ids[c], "t": terms[t], "mean": means[c, t]}))
     return rows.mapInArrow(assign, "doc_id string, cluster_id bigint, sim double"), saved(table.join(names, "t").select("cluster_id", "term", "mean"))
 
 

@@ -45,24 +45,20 @@ def as_rows(vectors: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 class Centroids:
-    """Means of a bounded number of clusters as entries ordered by term, for dot products with batches of as_rows()."""
+    """Means of a bounded number of clusters as a matrix of terms by clusters, for dot products with batches of as_rows()."""
 
-    def __init__(self, cluster: np.ndarray, term: np.ndarray, mean: np.ndarray, mags: dict[int, float]):
-        self.ids = np.array(sorted(mags), np.int64)
-        self.mags = np.array([mags[c] or np.inf for c in self.ids.tolist()], float)  # a magnitude of 0 gives likeness 0
-        order = np.lexsort((cluster, term))
-        self.col, self.term, self.mean = np.searchsorted(self.ids, cluster)[order], term[order], mean[order]
+    def __init__(self, ids: np.ndarray, terms: np.ndarray, means: np.ndarray, mags: np.ndarray):
+        self.ids, self.terms = ids, terms
+        self.matrix = np.zeros((len(terms) + 1, len(ids)))  # the last row is that of absent terms
+        self.matrix[:-1] = (means / np.where(mags == 0, np.inf, mags)[:, None]).T  # a magnitude of 0 gives likeness 0
 
     def sims(self, batch: pa.RecordBatch) -> np.ndarray:
-        n, terms = batch.num_rows, batch.column(2).flatten().to_numpy()
-        row = np.repeat(np.arange(n), np.diff(batch.column(2).offsets.to_numpy()))
-        low, high = np.searchsorted(self.term, terms, "left"), np.searchsorted(self.term, terms, "right")
-        hits = high - low
-        e = np.repeat(low - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
-        products = np.repeat(batch.column(3).flatten().to_numpy(), hits) * self.mean[e]
-        dots = np.bincount(np.repeat(row, hits) * len(self.ids) + self.col[e], weights=products, minlength=n * len(self.ids)).reshape(n, len(self.ids))
+        terms, starts = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
+        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        at = np.where(self.terms[at] == terms, at, len(self.terms))
+        dots = np.add.reduceat(self.matrix[at] * batch.column(3).flatten().to_numpy()[:, None], starts[:-1] - starts[0], axis=0)
         mag = batch.column(1).to_numpy()
-        return dots / (np.where(mag == 0, np.inf, mag)[:, None] * self.mags)
+        return dots / np.where(mag == 0, np.inf, mag)[:, None]
 
     def closest(self, batch: pa.RecordBatch, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Cluster and likeness of each row, as closest_cluster() has it."""
