@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, narrow, saved
+from .common import in_slices, narrow, saved, wide
 from .junk import FEATURES, features
 from .labelled import documents
 from .markup import detect
@@ -72,7 +72,7 @@ def labelled_statistics(docs: DataFrame, stopwords: DataFrame, sample: int = SAM
     rows = narrow(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string")).where("doc_id is not null and text is not null")
     span = 1 << 32
     cut = span if (n := rows.count()) <= sample else span * sample // n
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < cut).limit(2 * sample)
+    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < cut).limit(2 * sample).repartition(wide(docs), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 1):
