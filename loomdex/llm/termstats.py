@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -11,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, shared_dir
+from ..scratch import scratch_dir
+from .common import narrow
 from .distinctive import EDGES
 
 #: Bits of the term's hash per level, levels, and rows above which a partition is split further.
@@ -76,7 +78,7 @@ def term_frequencies(counts: DataFrame, id_col: str = "doc_id", term_col: str =
         fan = -(-max(hot.values()) // part_rows) * 2
         last = F.expr(f"h & {(1 << (BITS * LEVELS)) - 1}")
         part = F.when(last.isin(list(hot)), last + F.lit(LEVELS << 40) + F.pmod(F.xxhash64("doc"), F.lit(fan)) * F.lit(1 << 44)).otherwise(part)
-    folder = urlparse(shared_dir(spark))
+    folder = urlparse(scratch_dir(spark))
     spill = os.path.join(folder.path, f"duckdb-{uuid.uuid4().hex}") if folder.scheme in ("", "file") else None
 
     def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +92,19 @@ def term_frequencies(counts: DataFrame, id_col: str = "doc_id", term_col: str =
             yield first
             yield from batches
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False} | {"temp_directory": f"{spill}/{uuid.uuid4().hex}" if spill else ""})
-        reader = pa.RecordBatchReader.from_batches(first.schema, stream())
-        con.register("source", reader)
-        out = con.sql("select term, sum(tf)::bigint as total, count(*)::bigint as df from (select doc, term, max(tf) as tf from source group by doc, term) group by term").to_arrow_reader(100_000)
-        for batch in out:
-            yield batch
-        con.close()
+        own = os.path.join(spill, uuid.uuid4().hex) if spill else ""
+        if own:
+            os.makedirs(own)  # DuckDB creates no parent folder
+        con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False, "temp_directory": own})
+        try:
+            reader = pa.RecordBatchReader.from_batches(first.schema, stream())
+            con.register("source", reader)
+            out = con.sql("select term, sum(tf)::bigint as total, count(*)::bigint as df from (select doc, term, max(tf) as tf from source group by doc, term) group by term").to_arrow_reader(100_000)
+            yield from out
+        finally:
+            con.close()
+            if own:
+                shutil.rmtree(own, ignore_errors=True)
 
     # repeats of one (record, term) cannot be dealt to several partitions, so they fall together batch by batch first
     apart = rows.select("doc", "term", "tf", part.alias("part")).mapInArrow(_once, "doc string, term string, part long, tf long")

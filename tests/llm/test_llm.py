@@ -3,6 +3,8 @@
 import math
 import random
 import re
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -400,6 +402,15 @@ def test_term_frequencies_split_and_whole(spark):
     assert termstats.term_frequencies(df.limit(0)).count() == 0
 
 
+def test_term_frequencies_beyond_memory(spark):
+    """A partition above its memory spills to a folder of its own, and leaves nothing there."""
+    df = spark.range(400_000).select((F.col("id") % 100_000).cast("string").alias("doc_id"), F.concat(F.lit("term"), (F.col("id") / 100_000).cast("int").cast("string")).alias("term"), (F.col("id") % 3).alias("tf"))
+    got = {r["term"]: (r["total"], r["df"], r["mark"]) for r in termstats.term_frequencies(df, memory="16MB").collect()}
+    assert got == {f"term{t}": (sum((100_000 * t + i) % 3 for i in range(100_000)), 100_000, "common") for t in range(4)}
+    folder = Path(urlparse(termstats.scratch_dir(spark)).path)
+    assert [*folder.glob("duckdb-*")] and not [*folder.glob("duckdb-*/*")]
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(13)
     vocab = [f"v{i}" for i in range(60)]
