@@ -194,6 +194,32 @@ def test_recall_of_nearest_on_the_test_table(spark):
     assert hit / n >= 0.9
 
 
+def test_similar_pairs_in_few_tables_at_a_time(spark, monkeypatch):
+    """Disk holds the vectors and the buckets of a few tables, not of all; pairs are those of all tables at once."""
+    entries = spark.read.parquet(f"{SF}/../sf0.1/vectors.parquet")
+    folders = [Path(urlparse(termstats.scratch_dir(spark)).path), *(Path(str(x)) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())]
+    peak = []
+
+    def used():
+        return sum(x.stat().st_size for f in folders for x in [*f.rglob("*.parquet"), *f.rglob("shuffle_*")] if x.exists())
+
+    def watched(df, *by, save=neighbors.saved):
+        out = save(df, *by)
+        peak.append(used() - start)
+        return out
+
+    whole = {tuple(r) for r in pairs.record_pairs(*neighbors.similar_pairs(entries)).collect()}
+    monkeypatch.setattr(neighbors, "KEY_ROWS", 0, raising=False)
+    monkeypatch.setattr(neighbors, "CHECKED", (1000, 1000), raising=False)
+    start = used()
+    monkeypatch.setattr(neighbors, "saved", watched)
+    monkeypatch.setattr(pairs, "saved", watched)
+    members, links = neighbors.similar_pairs(entries)
+    peak.append(used() - start)
+    assert {tuple(r) for r in pairs.record_pairs(members, links).collect()} == whole and len(whole) > 500
+    assert max(peak) < 1000 * members.count()
+
+
 def test_vectors_of_nothing(spark):
     none = spark.createDataFrame([], V)
     assert neighbors.record_pairs(*neighbors.similar_pairs(none)).count() == 0
