@@ -292,6 +292,22 @@ def test_agreement_of_blocks_with_all_pairs_on_the_test_table(spark):
     assert len(x & y) > 0.8 * len(y) and len(x & y) > 0.8 * len(x)
 
 
+def test_clusters_are_those_of_linkage_over_all_pairs(spark):
+    """Rounds with a bounded part of the clusters at a time leave no partner out: they end as one pair at a time does."""
+    vectors = neighbors.saved(neighbors.sparse_vectors(spark.read.parquet(f"{SF}/vectors.parquet").where("pmod(doc_id, 3) = 0")))
+    rows = vectors.orderBy("id").collect()
+    terms = {t: j for j, t in enumerate({t for r in rows for t in r["terms"]})}
+    x = np.zeros((len(rows), len(terms)))
+    for i, r in enumerate(rows):
+        x[i, [terms[t] for t in r["terms"]]] = r["weights"]
+    got = {}
+    for r in linkage.cluster_vectors(vectors, block=10).collect():
+        got.setdefault(r["cluster"], set()).add(r["id"])
+    assert {frozenset(g) for g in got.values()} == {frozenset(rows[i]["id"] for i in g) for g in average_linkage(x @ x.T, linkage.LIMIT)}
+    parts = {r["id"]: r["cluster"] for r in linkage.cluster_vectors(vectors, block=10, most=2000).collect()}
+    assert parts == {i: c for c, g in got.items() for i in g}
+
+
 def test_clusters_need_linkage(spark, entries, monkeypatch):
     saved = spark.createDataFrame([(g + 5, [str(g * 40 + 1), None, str(g * 40 + 2)]) for g in range(8)], "cluster_id int, doc_ids array<string>")
     monkeypatch.setattr(linkage, "cluster_vectors", lambda v: v.select("id", F.col("id").alias("cluster")))
