@@ -308,6 +308,23 @@ def test_clusters_are_those_of_linkage_over_all_pairs(spark):
     assert parts == {i: c for c, g in got.items() for i in g}
 
 
+@pytest.mark.parametrize("sizes", [dict(near=3), dict(near=3, most=2000), dict(near=4, together=1500)])
+def test_clusters_do_not_depend_on_what_is_known_at_once(spark, sizes):
+    """Few partners of each cluster, found in parts, and merges in several tasks: the same clusters."""
+    vectors = neighbors.saved(neighbors.sparse_vectors(spark.read.parquet(f"{SF}/vectors.parquet").where("pmod(doc_id, 3) = 0")))
+    some, whole = ({r["id"]: r["cluster"] for r in linkage.cluster_vectors(vectors, **x).collect()} for x in (dict(block=10, **sizes), {}))
+    assert some == whole and len(set(some.values())) < len(some)
+
+
+def test_linkage_takes_few_rounds(spark, monkeypatch):
+    """A round merges all that is proven, not one level of pairs: far fewer tables are written than levels would need."""
+    vectors = neighbors.saved(neighbors.sparse_vectors(spark.read.parquet(f"{SF}/vectors.parquet").where("pmod(doc_id, 3) = 0")))
+    written = []
+    monkeypatch.setattr(linkage, "saved", lambda df, *by: written.append(1) or neighbors.saved(df, *by))
+    linkage.cluster_vectors(vectors, block=10)
+    assert len(written) < 50
+
+
 def test_clusters_need_linkage(spark, entries, monkeypatch):
     saved = spark.createDataFrame([(g + 5, [str(g * 40 + 1), None, str(g * 40 + 2)]) for g in range(8)], "cluster_id int, doc_ids array<string>")
     monkeypatch.setattr(linkage, "cluster_vectors", lambda v: v.select("id", F.col("id").alias("cluster")))
